@@ -24,7 +24,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.variant_groups(
         [
             (table(spark, d, "responses"), "responses", "request_id", variants.url_form(F.col("page_url"))),
-            (table(spark, d, "aliases"), "aliases", "alias_id", F.concat_ws("\t", F.coalesce(F.col("hid").cast("string"), F.concat(F.lit("null "), F.col("alias_id"))), variants.host_form(F.col("alias")))),
+            (table(spark, d, "aliases"), "aliases", "alias_id", variants.alias_form(F.col("hid"), F.col("alias_id"), F.col("alias"))),
             (table(spark, d, "hosts"), "hosts", "hid", variants.host_form(F.col("hostname"))),
         ]
     )

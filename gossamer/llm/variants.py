@@ -38,7 +38,7 @@ def url_form(url: Column) -> Column:
     head = F.when(at > 0, F.substring_index(url, "?", 1)).otherwise(url)
     tail = F.when(at > 0, F.substring(url, at + 1, F.length(url))).otherwise(F.lit(""))
     fields = F.filter(F.transform(F.split(tail, "[&;]"), words), lambda x: x != "")
-    return F.concat_ws("?", words(head), F.array_join(F.array_sort(F.array_distinct(fields)), "&"))
+    return F.when(url.isNotNull(), F.concat_ws("?", words(head), F.array_join(F.array_sort(F.array_distinct(fields)), "&")))
 
 
 def host_form(name: Column) -> Column:
@@ -54,6 +54,12 @@ def host_form(name: Column) -> Column:
     return F.when(last & ~first, there).when(first & ~last, back).otherwise(F.least(there, back))
 
 
+def alias_form(hid: Column, alias_id: Column, alias: Column) -> Column:
+    """Host form within one ``hid``; a null ``hid`` agrees with no other row."""
+    owner = F.coalesce(hid.cast("string"), F.concat(F.lit("null "), alias_id))
+    return F.concat(owner, F.lit("\t"), host_form(alias))
+
+
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
     return (mixed(h, 0) & np.uint64(bits - 1)).astype(np.int64)
 
