@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, seen, variants
+from . import bpe, leaks, lines, seen, variants
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,24 @@ def p3_copies(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("tab", "keep_id").agg((F.count(F.lit(1)) + 1).alias("copies"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lines.repeated_line_numbers(table(spark, d, "responses"))
+
+
+def p5_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated lines of each site with the pages they stand in."""
+    return lines.repeated_lines(table(spark, d, "responses")).withColumnRenamed("source", "queue_id")
+
+
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages without the repeated lines."""
+    return lines.without_repeated_lines(table(spark, d, "responses"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -50,5 +68,15 @@ SELECT 'hash_log' AS tab, rec_id FROM (SELECT rec_id, min(rec_id) OVER (PARTITIO
 """
 
 
+P5 = r"""
+WITH l AS (
+  SELECT DISTINCT request_id, queue_id, unnest(generate_series(0, len(string_split(page, chr(10))) - 1)) AS line_no, unnest(string_split(page, chr(10))) AS line
+  FROM responses WHERE page IS NOT NULL AND queue_id IS NOT NULL),
+s AS (SELECT request_id, queue_id, line_no, trim(regexp_replace(regexp_replace(line, '<[^>]*>', '', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{B}]+', ' ', 'g')) AS shown FROM l),
+c AS (SELECT queue_id, shown FROM s WHERE regexp_matches(shown, '\p{L}') GROUP BY ALL HAVING count(DISTINCT request_id) >= 10)
+SELECT s.request_id, CAST(s.line_no AS INTEGER) AS line_no FROM s JOIN c USING (queue_id, shown)
+""".replace("\\\\", "\\")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2}
+    return {"p2_found": P2, "p5_found": P5}
