@@ -119,7 +119,7 @@ def repeated_lines(df: DataFrame, source: str = "queue_id", page: str = "page",
     return counted.groupBy("source", "line").agg((F.sum("n") + F.count_distinct("rid")).alias("n")).filter(F.col("n") >= MIN_PAGES)
 
 
-def _confirmed(df: DataFrame, source: str, page: str, key: str):
+def confirmed(df: DataFrame, source: str, page: str, key: str):
     """The confirmed lines as a broadcast set, or as a table where they are too many to be sent."""
     lines = repeated_lines(df, source, page, key).select("source", "line")
     rows = lines.limit(MAX_SENT_LINES + 1).collect()
@@ -142,7 +142,7 @@ def repeated_line_numbers(df: DataFrame, source: str = "queue_id", page: str = "
 
     Nulls, redelivered rows and empty tables as in ``repeated_lines``.
     """
-    sent, lines = _confirmed(df, source, page, key)
+    sent, lines = confirmed(df, source, page, key)
     pages = df.select(F.col(source).cast("int"), F.col(page), F.col(key).cast("bigint")).filter(F.col(page).isNotNull() & F.col(source).isNotNull())
     if sent is None:
         listed = pages.mapInArrow(_listed, "rid bigint, line_no int, source int, line string")
@@ -164,7 +164,7 @@ def repeated_line_numbers(df: DataFrame, source: str = "queue_id", page: str = "
 def without_repeated_lines(df: DataFrame, source: str = "queue_id", page: str = "page", key: str = "request_id") -> DataFrame:
     """``key`` and ``page`` without its repeated lines; a page without a source is kept as it is, a null
     page stays null; rows delivered twice are kept as they stand."""
-    sent, _ = _confirmed(df, source, page, key)
+    sent, _ = confirmed(df, source, page, key)
     if sent is None:
         numbers = repeated_line_numbers(df, source, page, key).groupBy(key).agg(F.collect_set("line_no").alias("bad"))
         kept = F.expr(f"filter(split(`{page}`, '\n', -1), (x, i) -> bad IS NULL OR NOT array_contains(bad, i))")

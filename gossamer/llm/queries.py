@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, leaks, lines, seen, variants
+from . import bpe, garbled, leaks, lines, seen, spam, variants
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "responses")).select("request_id")
+
+
+def p1_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled pages with the text restored where it can be."""
+    return garbled.garbled(table(spark, d, "responses"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +62,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "responses"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
