@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, garbled, leaks, lines, seen, spam, variants
+from . import article, bpe, garbled, leaks, lines, seen, spam, variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return article.article_lines(table(spark, d, "responses"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "responses"))
 
