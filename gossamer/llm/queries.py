@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import article, bpe, garbled, leaks, lines, seen, spam, variants
+from . import article, bpe, garbled, leaks, lines, seen, sentences, spam, variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,8 +74,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_ends(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
+    return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 P2 = """
