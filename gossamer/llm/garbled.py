@@ -62,25 +62,36 @@ def _common_han() -> frozenset:
     return frozenset(out)
 
 
+@lru_cache(maxsize=1)
+def _classes() -> tuple[frozenset, frozenset, frozenset, frozenset]:
+    """Characters that cost nothing by themselves, and those whose neighbourhood matters."""
+    ascii_ = {chr(i) for i in range(0x7F)}
+    russian = set(RUSSIAN) | set(RUSSIAN.upper())
+    kana = {chr(i) for i in (*range(0x3041, 0x3097), *range(0x30A1, 0x30FB))}
+    accents = {chr(i) for i in range(0x80, 0x250)} | set("‚ƒ„…†‡ˆ‰‹‘’“”•–—˜™š›œžŸ€")
+    return frozenset(ascii_ | set(LATIN + MARKS + WIDE) | russian | kana | _common_han()), frozenset(accents), frozenset(russian), _common_han()
+
+
 def cost(s: str) -> float:
     """Garbling cost: characters and neighbourhoods that clean text of the known languages lacks."""
     if s.isascii():
         return 0.0
     c = 0.0
-    odd = SUSPECT.findall(s)
-    if odd:
+    safe, accents, russian, common = _classes()
+    chars = set(s)
+    if chars - safe:
+        odd = SUSPECT.findall(s)
         c += 2 * len(odd) + sum(1 for x in odd if "\x7f" <= x <= "\x9f" or x == "�")
-    c += sum(1 for m in PAIR.findall(s) if not PAIR_OK.match(m))
-    c += len(INNER.findall(s)) + len(CAPITAL.findall(s)) + len(LONE.findall(s))
-    c += 1.5 * len(MIXED.findall(s))
-    han = HAN.findall(s)
-    if han:
-        common = _common_han()
-        c += 1.5 * sum(1 for x in han if x not in common)
-    words = CYRILLIC.findall(s)
-    if words:
+        c += 1.5 * sum(1 for x in HAN.findall(s) if x not in common)
+    if chars & accents:
+        c += sum(1 for m in PAIR.findall(s) if not PAIR_OK.match(m))
+        c += len(INNER.findall(s)) + len(CAPITAL.findall(s)) + len(LONE.findall(s))
+    slavic = not chars.isdisjoint(russian)
+    if slavic or not chars.isdisjoint(common):
+        c += 1.5 * len(MIXED.findall(s))
+    if slavic:
         n, rank = 0, 0.0
-        for w in words:
+        for w in CYRILLIC.findall(s):
             low = w.lower()
             n += len(w)
             rank += sum(map(LETTER_COST.__getitem__, low))
@@ -180,9 +191,17 @@ def _stretches(s: str, wrong: str, right: str) -> str | None:
     return got if ok and got != s else None
 
 
-def _layer(s: str, before: float, deep: bool = True) -> tuple[str, float] | None:
-    """The cheapest strict round trip of ``s``, if it lowers the cost enough."""
+def _layer(s: str, before: float, deep: bool = True, hints: list | None = None) -> tuple[str, float] | None:
+    """The cheapest strict round trip of ``s``, if it lowers the cost enough.
+
+    ``hints`` are the encoding pairs that mended earlier lines of the page: they are tried first and
+    taken when they leave no cost.
+    """
     best: tuple[str, float] | None = None
+    for wrong, right in hints or ():
+        t = _strict(s, wrong, right)
+        if t is not None and t != s and before >= 1 and cost(t) == 0:
+            return t, 0.0
 
     def offer(t: str | None, left: float = LEFT) -> bool:
         nonlocal best
@@ -195,6 +214,8 @@ def _layer(s: str, before: float, deep: bool = True) -> tuple[str, float] | None
 
     for wrong in SINGLE + MULTI[:3]:
         if offer(_strict(s, wrong, "utf-8")):
+            if hints is not None:
+                hints.append((wrong, "utf-8"))
             return best
     for wrong in SINGLE[:5]:
         if offer(_pieces(s, wrong)):
@@ -221,16 +242,18 @@ def _layer(s: str, before: float, deep: bool = True) -> tuple[str, float] | None
                 except UnicodeDecodeError:
                     continue
             if offer(t, LEFT_LEGACY):
+                if hints is not None and raw is not None:
+                    hints.append((wrong, right))
                 return best
     return best
 
 
-def _nested(s: str) -> str | None:
+def _nested(s: str, hints: list | None = None) -> str | None:
     now, c, changed = s, cost(s), False
     for _ in range(LAYERS):
         if not c:
             break
-        got = _layer(now, c)
+        got = _layer(now, c, True, hints)
         if got is None:
             break
         now, c = got
@@ -238,7 +261,7 @@ def _nested(s: str) -> str | None:
     return now if changed else None
 
 
-def mend_line(line: str) -> tuple[str, bool]:
+def mend_line(line: str, hints: list | None = None) -> tuple[str, bool]:
     """``line`` with the original text where it can be recovered, and whether it was garbled.
 
     A replacement character U+FFFD shows a wrong decoding that can't be undone.  Character references
@@ -253,9 +276,9 @@ def mend_line(line: str) -> tuple[str, bool]:
     lost = "�" in text
     if lost:
         # bytes are gone where U+FFFD stands: the pieces between them may still be taken back
-        parts = [(_nested(x) or x) if cost(x) >= 2 else x for x in text.split("�")]
+        parts = [(_nested(x, hints) or x) if cost(x) >= 2 else x for x in text.split("�")]
         return "�".join(parts), True
-    got = _nested(text)
+    got = _nested(text, hints)
     if got is None:
         # parts of the line may be clean: take the stretches that one encoding can write
         out, changed = text, False
@@ -276,29 +299,27 @@ def mend_line(line: str) -> tuple[str, bool]:
 
 
 class Mender:
-    """Pages line by line, remembering lines met before."""
+    """Pages line by line, remembering clean lines met before."""
 
     def __init__(self):
-        self.known: dict[str, tuple[str, bool]] = {}
-
-    def line(self, s: str) -> tuple[str, bool]:
-        if s.isascii() and "&#" not in s and not NAMED.search(s):
-            return s, False
-        got = self.known.get(s)
-        if got is None:
-            if len(self.known) > 50_000:
-                self.known = {}
-            got = self.known[s] = mend_line(s)
-        return got
+        self.clean: set[str] = set()
 
     def page(self, text: str) -> tuple[str, bool]:
         if text.isascii() and "&#" not in text and not NAMED.search(text):
             return text, False
-        hit, out = False, []
+        hit, out, hints, clean = False, [], [], self.clean
+        if len(clean) > 50_000:
+            clean.clear()
         for s in text.split("\n"):
-            t, bad = self.line(s)
+            if s in clean or s.isascii() and ("&" not in s or "&#" not in s and not NAMED.search(s)):
+                out.append(s)
+                continue
+            t, bad = mend_line(s, hints)
             out.append(t)
-            hit |= bad
+            if bad:
+                hit = True
+            else:
+                clean.add(s)
         return ("\n".join(out), True) if hit else (text, False)
 
 

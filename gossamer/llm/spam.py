@@ -35,12 +35,12 @@ LIST_SIZE = 400
 
 ENTITY = re.compile(r"&#?\w+;")
 NUMBER = re.compile(r"\d+")
-NAME = re.compile(r"(?:(?<![^\W\d_])|(?<=[぀-ヿ一-鿿]))[A-Z][a-z]+")
+NAME = re.compile(r"(?=[A-Z])(?:(?<![^\W\d_])|(?<=[぀-ヿ一-鿿]))[A-Z][a-z]+")
 #: File names, addresses and options are no prose either way.
 CODE = re.compile(r"(?<!\S)(?:--\w+|[^\s<>]*\w[./=]\w[^\s<>]*)")
 WORDS = re.compile(r"[^\W\d_]+")
 WIDE = re.compile(r"[぀-ヿ一-鿿]")
-END = re.compile(r"(?<!\d)(?:[.!?…][)”\"»“]*(?=\s|$))|[。！？]")
+END = re.compile(r"[.!?…](?<!\d[.!?…])[)”\"»“]*(?=\s|$)|[。！？]")
 LOOSE = re.compile(r"[#\[\];|*•·]|(?:^|\s)-\s")
 
 
@@ -50,7 +50,7 @@ def masked(text: str, known: frozenset[str] = frozenset()) -> str:
     Capitalised words in ``known`` (those a page repeats) are words, not names.
     """
     t = NUMBER.sub("0", CODE.sub("", ENTITY.sub("·", text)))
-    t = NAME.sub(lambda m: m.group() if m.group() in known else "N", t)
+    t = NAME.sub(lambda m: m.group() if m.group() in known else "N", t) if known else NAME.sub("N", t)
     return " ".join(t.split())
 
 
@@ -60,21 +60,25 @@ def repeated_words(own: list[str]) -> frozenset[str]:
     return frozenset(w for w, n in count.items() if n > 2)
 
 
+def wide(text: str) -> int:
+    """Letters of scripts without blanks."""
+    return 0 if text.isascii() else len(WIDE.findall(text))
+
+
 def ratio(text: str) -> tuple[float, int]:
     """Compressed share of a masked text, in units of one byte a letter (two for wide scripts)."""
-    wide = len(WIDE.findall(text))
-    raw = text.encode("utf-16-le" if wide > len(text) / 4 else "koi8_r", "replace")
+    raw = text.encode("utf-16-le" if wide(text) > len(text) / 4 else "koi8_r", "replace")
     return (len(zlib.compress(raw, 6)) - 8) / max(len(raw), 1), len(raw)
 
 
 def letters(text: str) -> int:
     """Letters of words that aren't names; a wide letter counts as three."""
-    return sum(map(len, WORDS.findall(text.replace("N", "")))) + 2 * len(WIDE.findall(text))
+    return sum(map(len, WORDS.findall(text.replace("N", "")))) + 2 * wide(text)
 
 
 def density(text: str) -> float:
     """Sentence ends for each 100 characters; a wide letter counts as three."""
-    return 100 * len(END.findall(text)) / max(len(text) + 2 * len(WIDE.findall(text)), 1)
+    return 100 * len(END.findall(text)) / max(len(text) + 2 * wide(text), 1)
 
 
 def block_score(text: str, known: frozenset[str] = frozenset()) -> tuple[bool, int]:
