@@ -24,6 +24,8 @@ INTENDED = ("utf-8", "cp1252", "cp1251", "koi8_r", "cp866", "gbk", "big5", "euc_
 LAYERS = 4
 #: A repair is accepted when at most this share of the cost is left.
 LEFT = 0.5
+#: The same for a layer of at least four characters in strict UTF-8.
+NESTED = 0.95
 #: The same between two legacy encodings, whose strict decoding proves less than that of UTF-8.
 LEFT_LEGACY = 0.3
 WIDE_CODECS = ("gbk", "big5", "euc_jp", "cp932")
@@ -213,10 +215,14 @@ def _layer(s: str, before: float, deep: bool = True, hints: list | None = None)
         return c == 0 and best is not None
 
     for wrong in SINGLE + MULTI[:3]:
-        if offer(_strict(s, wrong, "utf-8")):
+        t = _strict(s, wrong, "utf-8")
+        # several sequences that all decode prove more than the cost of a layer that hides another one
+        if offer(t, NESTED if t is not None and len(s) - len(t) >= 4 else LEFT):
             if hints is not None:
                 hints.append((wrong, "utf-8"))
             return best
+    if best is not None:
+        return best
     for wrong in SINGLE[:5]:
         if offer(_pieces(s, wrong)):
             return best
