@@ -53,7 +53,8 @@ def page_links(pages: DataFrame, key: str, address: str, page: str, mode: str =
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     based = rows.withColumn("base", F.coalesce(F.last(F.when(F.col("tag") == "base", F.col("link")), True).over(before), F.col("own")))
     followed = based.filter(F.col("tag").isin(*FOLLOWED, *(["img"] if images else [])))
-    out = followed.select(key, "pos", "tag", "link", U.resolve(F.col("link"), F.col("base")).alias("target"))
+    parsed = followed.select(key, "pos", "tag", "link", U.parse(F.col("link")).alias("r"), U.parse(F.col("base")).alias("b"))
+    out = parsed.select(key, "pos", "tag", "link", U.resolve_parts(F.col("link"), F.col("r"), F.col("b")).alias("target"))
     return out.filter(F.lower(F.substring_index("target", ":", 1)) == "http") if http_only else out
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_URL = 102_400
+#: Scheme, host with port, path, parameter, query and fragment of a URL.
+WHOLE = r"(?s)^(?:([A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#;]*)(?:;([^?#]*))?(?:\?([^#]*))?(?:#(.*))?$"
+#: Parts the pieces of a cut URL; no URL holds it.
+CUT = "\x01\x02"
 PARTS = ("scheme", "net_loc", "port", "path", "param", "query", "fragment")
 
 
@@ -26,27 +30,19 @@ def encode_unsafe(url: Column, strict: bool = True) -> Column:
 
 
 def parse(url: Column) -> Column:
-    """A struct of the seven parts; null for a null or overlong URL.
+    """A struct of the seven parts; all of them null for a null or overlong URL.
 
     The text is trimmed, the fragment cut at ``#``, the scheme kept in its case, the host lower-cased
-    without one trailing dot, ``;param`` cut at the first ``;`` of the path, an empty path is ``/``.
+    without one trailing dot, ``;param`` cut at the first ``;`` of the path, an empty path after a host
+    is ``/``.  One pass of one pattern cuts all parts.
     """
-    u = F.regexp_replace(url, r"^[\s]+|[\s]+$", "")
-    fragment = F.regexp_extract(u, r"(?s)^[^#]*#(.*)$", 1)
-    u1 = F.regexp_extract(u, r"(?s)^([^#]*)", 1)
-    scheme = F.regexp_extract(u1, r"(?s)^([A-Za-z0-9+.\-]*):", 1)
-    u2 = F.regexp_replace(u1, r"(?s)^[A-Za-z0-9+.\-]*:", "")
-    authority = F.regexp_extract(u2, r"(?s)^//([^/?]*)", 1)
-    u3 = F.regexp_replace(u2, r"(?s)^//[^/?]*", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(authority, r"(?s)^([^:]*)", 1)), r"\.$", "")
-    port = F.regexp_extract(authority, r"(?s):(.*)$", 1)
-    query = F.regexp_extract(u3, r"(?s)^[^?]*\?(.*)$", 1)
-    u4 = F.regexp_extract(u3, r"(?s)^([^?]*)", 1)
-    param = F.regexp_extract(u4, r"(?s)^[^;]*;(.*)$", 1)
-    path = F.regexp_extract(u4, r"(?s)^([^;]*)", 1)
-    path = F.when((path == "") & (host != ""), "/").otherwise(path)
-    parts = F.struct(*[c.alias(n) for c, n in zip((scheme, host, port, path, param, query, fragment), PARTS)])
-    return F.when(url.isNotNull() & (F.length(url) < MAX_URL - 10), parts)
+    u = F.regexp_replace(F.when(F.length(url) < MAX_URL - 10, url), r"^\s+|\s+$", "")
+    cut = F.split(F.regexp_replace(u, WHOLE, CUT.join(f"${k}" for k in range(1, 7))), CUT, -1)
+    scheme, authority, path, param, query, fragment = (F.element_at(cut, k) for k in range(1, 7))
+    host = F.regexp_replace(F.lower(F.substring_index(authority, ":", 1)), r"\.$", "")
+    port = F.substring(authority, F.length(F.substring_index(authority, ":", 1)) + 2, MAX_URL)
+    path = F.when((path == "") & (host != ""), F.lit("/")).otherwise(path)
+    return F.struct(*[c.alias(n) for c, n in zip((scheme, host, port, path, param, query, fragment), PARTS)])
 
 
 def render(p: Column, fragment: bool = False, keep_port_80: bool = False) -> Column:
@@ -79,7 +75,11 @@ def resolve(relative: Column, base: Column) -> Column:
     start of a relative path only, and a ``..`` too many leaves one leading ``/..``.  An empty reference
     is the base without fragment.
     """
-    r, b = parse(F.coalesce(relative, F.lit(""))), parse(base)
+    return resolve_parts(relative, parse(F.coalesce(relative, F.lit(""))), parse(base))
+
+
+def resolve_parts(relative: Column, r: Column, b: Column) -> Column:
+    """``resolve`` with both addresses parsed before, as separate columns."""
     own_path = F.regexp_extract(F.regexp_extract(F.trim(relative), r"(?s)^([^#?;]*)", 1), r"(?s)^(.*)$", 1)
     folder = F.regexp_replace(b["path"], r"[^/]*$", "")
     # leading ./ fall away, each leading ../ takes a folder
@@ -101,7 +101,7 @@ def resolve(relative: Column, base: Column) -> Column:
         F.when(has_host | (own_path != "") | (r["query"] != "") | (r["param"] != ""), r["query"]).otherwise(b["query"]).alias("query"),
         r["fragment"].alias("fragment"),
     )
-    return F.when(base.isNotNull() & relative.isNotNull(), render(whole))
+    return F.when(relative.isNotNull(), render(whole))
 
 
 def extension(path: Column) -> Column:

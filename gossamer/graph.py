@@ -26,7 +26,7 @@ class Graph:
         wanted = {src: "src", dst: "dst"} | ({eid: "eid"} if eid else {})
         e = edges.drop(*({"src", "dst", "eid"} - set(wanted))).withColumnsRenamed(wanted).filter("src IS NOT NULL AND dst IS NOT NULL")
         e = e if eid else e.withColumn("eid", F.monotonically_increasing_id())
-        v = e.select(F.explode(F.array("src", "dst")).cast("bigint").alias("id"))
+        v = e.select(F.explode(F.array("src", "dst")).alias("id"))
         if n is not None:
             v = v.unionByName(edges.sparkSession.range(n))
         return Graph(v.distinct(), e, directed)

@@ -241,18 +241,27 @@ def spanning_forest(g: Graph, weight: str = "weight") -> DataFrame:
 def colouring(g: Graph) -> DataFrame:
     """``id`` and ``colour`` of a proper vertex colouring (self loops aside).
 
-    Rounds by hashed priority: a vertex whose priority beats all its uncoloured neighbours takes the
-    first colour its neighbours lack.
+    Rounds by priority, the vertices of most neighbours first, ties by hash.  A vertex with k uncoloured
+    neighbours ahead of it picks the k-th colour its neighbours lack, so that a clique is coloured in
+    one round; of neighbours with the same pick the first keeps it.
     """
     both = cut(Graph(g.vertices, g.edges, False).arcs().filter("src <> dst").select("src", "dst").distinct())
-    state = cut(g.vertices.select("id").distinct().select("id", F.xxhash64("id").alias("p"), F.lit(None).cast("int").alias("colour")))
+    near = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    first = F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), F.xxhash64("id").alias("h"))
+    nodes = g.vertices.select("id").distinct()
+    state = cut(nodes.join(near, nodes.id == near.src, "left").select("id", first.alias("p"), F.lit(None).cast("int").alias("colour")))
     while not state.filter("colour IS NULL").isEmpty():
-        at = both.join(state.select(F.col("id").alias("dst"), F.col("p").alias("q"), F.col("colour").alias("qc")), "dst")
-        around = at.groupBy("src").agg(F.max(F.when(F.col("qc").isNull(), F.struct("q", "dst"))).alias("rival"), F.collect_set("qc").alias("taken"))
-        free = F.expr("array_min(array_except(sequence(0, size(taken)), taken))")
-        wins = F.col("rival").isNull() | (F.struct("p", "id") > F.struct("rival.q", "rival.dst"))
-        joined = state.join(around, state.id == around.src, "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-        state = cut(joined.select("id", "p", F.when(F.col("colour").isNotNull(), F.col("colour")).when(wins, free.cast("int")).alias("colour")))
+        other = state.select(F.col("id").alias("dst"), F.col("p").alias("q"), F.col("colour").alias("qc"))
+        mine = state.filter("colour IS NULL").select(F.col("id").alias("src"), "p")
+        ahead = F.col("qc").isNull() & (F.struct("q", "dst") > F.struct("p", "src"))
+        around = both.join(mine, "src").join(other, "dst").groupBy("src").agg(F.collect_set("qc").alias("taken"), F.count_if(ahead).cast("int").alias("rank"))
+        free = F.element_at(F.array_except(F.sequence(F.lit(0), F.size("taken") + F.col("rank")), F.col("taken")), F.col("rank") + 1)
+        picked = mine.join(around, "src", "left").select("src", "p", F.coalesce(free, F.lit(0)).alias("pick"))
+        picked = cut(picked)
+        rival = picked.select(F.col("src").alias("dst"), F.col("p").alias("q"), F.col("pick").alias("qp"))
+        lost = both.join(picked, "src").join(rival, "dst").filter((F.col("qp") == F.col("pick")) & (F.struct("q", "dst") > F.struct("p", "src"))).select("src").distinct()
+        won = picked.join(lost, "src", "left_anti").select(F.col("src").alias("id"), F.col("pick").alias("new"))
+        state = cut(state.join(won, "id", "left").select("id", "p", F.coalesce("colour", "new").alias("colour")))
     return state.select("id", "colour")
 
 

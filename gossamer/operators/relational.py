@@ -65,9 +65,9 @@ def list_offsets(lists: DataFrame) -> DataFrame:
 
 def seen_set(urls: DataFrame, group: str, hashed: Column, order: str) -> DataFrame:
     """The first row of each hash in its group, by ``order``."""
-    keyed = urls.withColumn("_h", hashed)
-    first = keyed.filter("_h IS NOT NULL").groupBy(group, "_h").agg(F.min(order).alias(order))
-    return keyed.join(first, [group, "_h", order], "left_semi").drop("_h")
+    row = F.struct(*[F.col(c) for c in urls.columns])
+    keyed = urls.select(F.col(group).alias("_g"), hashed.alias("_h"), F.col(order).alias("_o"), row.alias("_r")).filter("_h IS NOT NULL")
+    return keyed.groupBy("_g", "_h").agg(F.min_by("_r", "_o").alias("_r")).select("_r.*")
 
 
 def compare_streams(a: DataFrame, b: DataFrame, order: str, value: str) -> DataFrame:

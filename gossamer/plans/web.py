@@ -142,8 +142,8 @@ def dedupe_consecutive(spark, d):
 
 
 def seen_set(spark, d):
-    q = table(spark, d, "url_queue").filter("u IS NOT NULL")
-    return R.seen_set(q, "queue_id", U.url_hash(U.parse(F.col("u"))), "entry_id").select("queue_id", "entry_id")
+    q = table(spark, d, "url_queue").filter("u IS NOT NULL").select("queue_id", "entry_id", U.parse(F.col("u")).alias("p"))
+    return R.seen_set(q, "queue_id", U.url_hash(F.col("p")), "entry_id").select("queue_id", "entry_id")
 
 
 def prefix_scan(spark, d):

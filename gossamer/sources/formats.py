@@ -46,7 +46,7 @@ def read_metis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     ncon = head[3] if len(head) > 3 else 1
     skip = ncon if vertex_w else 0
     body = lines.filter(F.col("no") > first["no"]).withColumn("id", F.col("no") - first["no"] - 1).filter(F.col("id") < head[0])
-    nums = body.select("id", F.expr("transform(filter(split(trim(value), '\\\\s+'), x -> x <> ''), x -> cast(x AS bigint))").alias("a"))
+    nums = body.select("id", F.expr("transform(filter(split(trim(value), '\\\\s+'), x -> x <> ''), x -> try_cast(x AS bigint))").alias("a"))
     vertices = nums.select("id", (F.element_at("a", 1) if vertex_w else F.lit(0)).cast("bigint").alias("weight"))
     rest = nums.select("id", F.slice("a", skip + 1, F.greatest(F.size("a") - skip, F.lit(0))).alias("a"))
     step = 2 if edge_w else 1
