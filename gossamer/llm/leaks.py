@@ -56,6 +56,7 @@ class Items:
                 if kind:
                     self.plain |= not any(JOINED.search(t) for t in tokens[k : k + n])
         self.windows = tuple(np.array(w, np.int32).reshape(-1, n) for w, n in zip(windows, (WORDS, TRIGRAMS)))
+        self.texts = {item: (int((lang or "").lower().split("-")[0] == "zh"), text) for item, text, lang in rows if text and item is not None}
         self.owner = tuple(np.array(o, np.int64) for o in owner)
 
 
@@ -185,6 +186,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-9)
 
 
+def _study(docs: DataFrame, held_out: DataFrame, doc_id: str, item_id: str, text: str, lang: str):
+    """The items, the documents' two columns, their passages (written), which of the items' tokens are
+    rare in the documents, and their idf."""
+    items = Items([(r[0], r[1], r[2]) for r in held_out.select(item_id, text, lang).limit(MAX_ITEMS + 1).collect()])
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    passages = written(rows.mapInArrow(_passages(items), PASSAGE), "passages")
+    freq: tuple = tuple(np.zeros(len(v) + 1, np.int64) for v in items.vocab)
+    counted = passages.filter("doc_id IS NULL").select("kind", F.posexplode("ids").alias("pos", "n")).groupBy("kind", "pos").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # the items' vocabulary
+        freq[r["kind"]][r["pos"]] = r["n"]
+    rare = tuple(f[:-1] <= max(3, RARE * f[-1]) for f in freq)
+    return items, rows, passages, rare, tuple(np.log((f[-1] + 1) / (f[:-1] + 1)).astype(np.float32) + np.float32(0.1) for f in freq)
+
+
 def leaked_items(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id`` and ``item_id`` of every document and item with a passage in common.
 
@@ -194,19 +209,12 @@ def leaked_items(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id", i
     by ``MAX_ITEMS`` and stand in memory; the documents never do.
     """
     spark = docs.sparkSession
-    items = Items([(r[0], r[1], r[2]) for r in held_out.select(item_id, text, lang).limit(MAX_ITEMS + 1).collect()])
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
-    passages = written(rows.mapInArrow(_passages(items), PASSAGE), "passages")
-    freq: tuple = tuple(np.zeros(len(v) + 1, np.int64) for v in items.vocab)
-    counted = passages.filter("doc_id IS NULL").select("kind", F.posexplode("ids").alias("pos", "n")).groupBy("kind", "pos").agg(F.sum("n").alias("n"))
-    for r in counted.collect():  # the items' vocabulary
-        freq[r["kind"]][r["pos"]] = r["n"]
+    items, rows, passages, rare, idfs = _study(docs, held_out, doc_id, item_id, text, lang)
     found = None
     for kind in (0, 1):
         if not len(items.windows[kind]):
             continue
-        f = freq[kind]
-        idf = np.log((f[-1] + 1) / (f[:-1] + 1)).astype(np.float32) + np.float32(0.1)
+        idf = idfs[kind]
         basis = latent_basis(passages, items, kind, idf)
         own, owner, n = items.windows[kind], items.owner[kind], (WORDS, TRIGRAMS)[kind]
         placed = (idf[:, None] * basis).astype(np.float32)  # latent position of a token
@@ -240,3 +248,81 @@ def leaked_items(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id", i
     if found is None:
         return spark.createDataFrame([], f"{doc_id} bigint, {item_id} bigint")
     return found.distinct().select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id))
+
+
+#: Tokens of a longer passage and known ones it must hold, by kind.
+SPAN, LEAST_KNOWN = (40, 60), (12, 18)
+#: Latent cosine of a candidate; share of the passage that the longest common subsequence must cover;
+#: rare tokens (names, numbers: the answers) in common.
+NEAR, COVER, ANSWERS = 0.7, 0.4, 3
+#: Share of the documents up to which a token is rare.
+RARE = 0.002
+
+
+def _common(a: list[int], b: list[int]) -> tuple[int, int]:
+    """Lengths of the longest common run and of the longest common subsequence."""
+    x, y = np.array(a), np.array(b)
+    best, run, row = 0, np.zeros(len(y) + 1, np.int64), np.zeros(len(y) + 1, np.int64)
+    for t in x:
+        same = (y == t) & (t >= 0)
+        run[1:] = np.where(same, run[:-1] + 1, 0)
+        best = max(best, int(run.max()))
+        new = np.maximum(row[1:], np.where(same, row[:-1] + 1, 0))
+        row[1:] = np.maximum.accumulate(new)
+    return best, int(row[-1])
+
+
+def similar_passages(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Documents and items with a passage in common word for word or reworded: ``doc_id``, ``item_id``,
+    ``run`` (longest common run), ``lcs`` (longest common subsequence of a passage) and ``answers`` (rare
+    tokens in common), each the largest of the pair's passages.
+
+    Passages of ``SPAN`` tokens at every half span are candidates by latent cosine; the subsequence and
+    the answers decide.  Nulls, repeats and empty tables as in ``leaked_items``.
+    """
+    spark = docs.sparkSession
+    items, rows, passages, rare, idfs = _study(docs, held_out, doc_id, item_id, text, lang)
+    known: dict[int, list] = {0: [], 1: []}
+    for item, (kind, t) in items.texts.items():
+        ids = [items.vocab[kind][x] for x in tokens_of(t, kind)]
+        step = SPAN[kind] // 2
+        for k in range(0, max(1, len(ids) - step), step):
+            known[kind].append((item, ids[k : k + SPAN[kind]]))
+    kinds = {}
+    for kind, spans in known.items():
+        if spans:
+            placed = (idfs[kind][:, None] * latent_basis(passages, items, kind, idfs[kind])).astype(np.float32)
+            kinds[kind] = (placed, _unit(np.stack([placed[ids].sum(0) for _, ids in spans])), rare[kind])
+    sent = spark.sparkContext.broadcast((items, known, kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, known, kinds = sent.value
+        for b in batches:
+            out: dict[tuple[int, int], list[int]] = {}
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for kind, (placed, there, rare) in kinds.items():
+                    if not t or kind and not JOINED.search(t):
+                        continue
+                    tokens = tokens_of(t, kind)
+                    ids = np.fromiter(map(items.vocab[kind].get, tokens, repeat(-1)), np.int32, len(tokens))
+                    step = SPAN[kind] // 2
+                    spans = [ids[k : k + SPAN[kind]] for k in range(0, max(1, len(ids) - step), step)]
+                    spans = [x for x in spans if (x >= 0).sum() >= LEAST_KNOWN[kind]]
+                    if not spans:
+                        continue
+                    here = _unit(np.stack([placed[x[x >= 0]].sum(0) for x in spans]))
+                    for i, j in zip(*np.nonzero(here @ there.T >= NEAR)):
+                        item, own = known[kind][j]
+                        answers = len({x for x in spans[i].tolist() if x >= 0 and rare[x]} & set(own))
+                        if answers < ANSWERS:
+                            continue
+                        longest, lcs = _common(spans[i].tolist(), own)
+                        if lcs >= COVER * min(len(own), len(spans[i])):
+                            got = out.setdefault((d, item), [0, 0, 0])
+                            out[d, item] = [max(x) for x in zip(got, (longest, lcs, answers))]
+            cols = list(zip(*((*k, *v) for k, v in out.items()))) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "run", "lcs", "answers"])
+
+    found = rows.mapInArrow(run, "doc_id bigint, item_id bigint, run bigint, lcs bigint, answers bigint")
+    best = found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("run", "lcs", "answers")])
+    return best.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})

@@ -70,6 +70,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "responses"))
 
 
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked and reworded passages with the measures that tell them."""
+    return leaks.similar_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 

@@ -37,6 +37,17 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked_items(d.limit(0), i).isEmpty() and leaks.leaked_items(d, i.limit(0)).isEmpty()
 
 
+def test_reworded_passages(spark):
+    items = [(1, "Suppose that Eoorm must visit 12701 sites while Ropell keeps only 2859 open queues, so that each request to Latelsima waits until Quikelnix has emptied buffer 7117.", "en"), (2, None, "en")]
+    docs = [(1, "We suppose Eoorm must first visit 12701 different sites while old Ropell keeps just 2859 open message queues, so each new request to Latelsima waits until poor Quikelnix emptied the buffer 7117."), (2, "Nothing here is about it " * 20), (3, None), (4, "")]
+    docs += [(10 + k, f"so that only the list has {k} entries while each has been read") for k in range(40)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string, lang string")
+    got = [(r.doc_id, r.item_id, r.run < 10, r.lcs > 15, r.answers > 3) for r in leaks.similar_passages(d, i).collect()]
+    assert got == [(1, 1, True, True, True)]
+    assert leaks.similar_passages(d.limit(0), i).isEmpty()
+
+
 def cut(text):
     out, at = [], 0
     for e in sentences.boundaries(text):
