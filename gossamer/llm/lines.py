@@ -22,7 +22,7 @@ from .pages import LETTER, flag_redelivered, shown_lines
 #: Different pages of a source in which a line must stand.
 MIN_PAGES = 10
 #: Candidate or confirmed lines that may be sent to every task; beyond it they are joined by shuffle.
-MAX_SENT_LINES = 1_000_000
+MAX_SENT_LINES = 200_000
 SHARDS = 64
 
 
