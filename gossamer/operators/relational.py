@@ -72,7 +72,7 @@ def seen_set(urls: DataFrame, group: str, hashed: Column, order: str) -> DataFra
 
 def compare_streams(a: DataFrame, b: DataFrame, order: str, value: str) -> DataFrame:
     """Line-by-line comparison by position: ``pos``, ``a``, ``b`` where they differ or one has ended."""
-    num = lambda d, c: d.select(F.row_number().over(Window.orderBy(order)).alias("pos"), F.col(value).alias(c))
+    num = lambda d, c: prefix_scan(d.select(F.col(order).alias("_o"), F.col(value).alias(c)).withColumn("_1", F.lit(1)), "_1", "_o", "pos").select("pos", c)
     return num(a, "a").join(num(b, "b"), "pos", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
 
 
@@ -84,6 +84,18 @@ def consecutive_errors(df: DataFrame, group: str, order: list[str], failed: Colu
     return runs.groupBy(group).agg(F.sum("n").alias("n_rows"), (F.sum("n") - F.sum("run")).alias("n_success"), F.sum("run").alias("n_error"), F.max("run").alias("longest_error_run"))
 
 
+def merge_entries(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Sums by key, the largest first."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(value).alias(value)).orderBy(F.desc(value), key)
+
+
+def throughput(df: DataFrame, time: str, size: str, minutes: int = 60) -> DataFrame:
+    """``start``, ``total`` and the ``change`` against the sample before, for samples of so many minutes."""
+    samples = df.filter(F.col(time).isNotNull()).groupBy(F.window(F.col(time).cast("timestamp"), f"{minutes} minutes").alias("w")).agg(F.coalesce(F.sum(size), F.lit(0)).alias("total"))
+    # one row a sample: the window runs over the samples, not the rows
+    return samples.select(F.col("w.start").alias("start"), "total", (F.col("total") - F.lag("total").over(Window.orderBy("w.start"))).alias("change"))
+
+
 def search(pages: DataFrame, key: str, text: str, title: str, query: str) -> DataFrame:
     """Pages that hold every query word, those with one in the title first: ``key``, ``title_match``, ``pos``."""
     terms = [t.lstrip("+") for t in query.replace('"', " ").lower().split()]

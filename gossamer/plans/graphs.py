@@ -122,6 +122,21 @@ def mst_links_weight(spark, d):
     return iterative.spanning_forest(Graph(g.vertices, g.edges, False)).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
 
 
+def mst_local_filter(spark, d):
+    """The same forest after each partition dropped what its own edges make needless."""
+    g = T.trade(spark, d)
+    return iterative.spanning_forest(Graph(g.vertices, g.edges, False), local=True).select("eid", "src", "dst", "weight")
+
+
+def site_ranks(spark, d):
+    """Sites in order of their rank in the site graph."""
+    return iterative.page_rank(T.site_graph(spark, d), 10).select("id", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "id")
+
+
+def colours_used(spark, d):
+    return iterative.colouring(T.links(spark, d)).agg(F.count_distinct("colour").alias("colours"))
+
+
 def coloring_conflicts(spark, d):
     g = T.links(spark, d)
     c = iterative.colouring(g)
@@ -276,7 +291,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pagerank_links, pagerank_trade, degree_hist, degree_all, undirected_degree, dangling_fixpoint, bfs_levels, bfs_depth_limited, multi_source_bfs, subgraph_extract, st_connected, cc_min_label, cc_count,
-        scc_min_label, scc_links, sssp_trade, sssp_links, mst_forest, mst_links_weight, coloring_conflicts, biconnected, articulation, betweenness_exact, betweenness_replicated, betweenness_weighted,
+        scc_min_label, scc_links, sssp_trade, sssp_links, mst_forest, mst_local_filter, mst_links_weight, site_ranks, colours_used, coloring_conflicts, biconnected, articulation, betweenness_exact, betweenness_replicated, betweenness_weighted,
         betweenness_sources, edge_betweenness, central_point_dominance, max_centrality, depth_first, force_layout, site_links, max_weight_edges, edge_filter_mod8, reverse_edges, local_edges, vertex_index,
         vertex_removal, graph_counts, collapsed_graph, mesh_degrees, rmat_components,
     )
@@ -304,6 +319,8 @@ n AS MATERIALIZED (SELECT id FROM s UNION SELECT e.dst FROM e JOIN s ON e.src =
     "sssp_trade": SSSP.format(edges=T.TRADE, vertices=TV) + " SELECT id, dist FROM s",
     "sssp_links": SSSP.format(edges=WE, vertices=V) + " SELECT s.id, s.dist, (SELECT min(e.src) FROM e JOIN s p ON p.id = e.src WHERE e.dst = s.id AND p.dist + e.w = s.dist AND s.dist > 0) AS pred FROM s",
     "mst_forest": MST,
+    "mst_local_filter": MST,
+    "site_ranks": _rank_sql(T.SITE_EDGES, 10),
     "coloring_conflicts": f"SELECT count(*) AS n, 0::BIGINT AS uncoloured, 0::BIGINT AS conflicts FROM ({V})",
     "betweenness_exact": BC,
     "betweenness_replicated": BC,
@@ -318,6 +335,6 @@ n AS MATERIALIZED (SELECT id FROM s UNION SELECT e.dst FROM e JOIN s ON e.src =
     "vertex_removal": f"WITH gone AS (SELECT root_docid AS id FROM queue_info WHERE root_docid IS NOT NULL UNION SELECT 0) SELECT eid, src, dst FROM ({T.E}) WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)",
     "graph_counts": f"SELECT count(*) AS edges, count(*) FILTER (WHERE src = dst) AS loops, (SELECT count(*) FROM ({V})) AS vertices FROM ({T.E})",
     "collapsed_graph": f"WITH c AS MATERIALIZED ({SCC.format(edges=T.TRADE, vertices=TV)}) SELECT DISTINCT x.component AS a, y.component AS b FROM ({T.TRADE}) e JOIN c x ON e.src = x.id JOIN c y ON e.dst = y.id WHERE x.component <> y.component",
-    "mesh_degrees": """SELECT degree, count(*) AS n, torus FROM (SELECT CASE WHEN torus THEN 4 ELSE (x > 0)::INT + (x < 39)::INT + (y > 0)::INT + (y < 24)::INT END AS degree, torus
+    "mesh_degrees": """SELECT CAST(degree AS BIGINT) AS degree, count(*) AS n, torus FROM (SELECT CASE WHEN torus THEN 4 ELSE (x > 0)::INT + (x < 39)::INT + (y > 0)::INT + (y < 24)::INT END AS degree, torus
 FROM range(40) a(x), range(25) b(y), (VALUES (false), (true)) t(torus)) GROUP BY ALL""",
 }

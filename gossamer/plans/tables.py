@@ -9,9 +9,9 @@ from ..session import table
 
 #: Site links: edges whose ends are fetched pages, by the sites (queue ids) of the pages.
 PAGE_SITE = "SELECT docid, min(queue_id) AS q FROM responses WHERE docid IS NOT NULL AND queue_id IS NOT NULL GROUP BY docid"
-SITE_EDGES = f"SELECT a.q AS src, b.q AS dst, count(*) AS weight FROM edges e JOIN ({PAGE_SITE}) a ON e.from_id = a.docid JOIN ({PAGE_SITE}) b ON e.to_id = b.docid WHERE a.q <> b.q GROUP BY ALL"
+SITE_EDGES = f"SELECT CAST(a.q AS BIGINT) AS src, CAST(b.q AS BIGINT) AS dst, count(*) AS weight FROM edges e JOIN ({PAGE_SITE}) a ON e.from_id = a.docid JOIN ({PAGE_SITE}) b ON e.to_id = b.docid WHERE a.q <> b.q GROUP BY ALL"
 E = "SELECT from_id AS src, to_id AS dst, edge_id AS eid FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL"
-TRADE = """SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS weight, c_nationkey * 100 + s_nationkey AS eid FROM customer JOIN orders ON c_custkey = o_custkey
+TRADE = """SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS weight, CAST(c_nationkey * 100 + s_nationkey AS BIGINT) AS eid FROM customer JOIN orders ON c_custkey = o_custkey
   JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE l_quantity >= 50 AND l_discount >= 0.09 AND l_returnflag = 'R' AND c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey"""
 

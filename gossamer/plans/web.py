@@ -240,12 +240,71 @@ def site_pages(spark, d):
     return _pages(spark, d).groupBy("queue_id").agg(F.count(F.lit(1)).alias("num_pages"), F.count("page").alias("stored_pages"))
 
 
+def file_groups(spark, d):
+    """Sites grouped by device number, as files are shared out to workers."""
+    return table(spark, d, "queue_info").groupBy((F.col("queue_id") % 4).alias("device")).agg(F.sort_array(F.collect_list("queue_id")).alias("sites"))
+
+
+def bulk_load(spark, d):
+    """One address for each document id."""
+    p = table(spark, d, "responses").filter("docid IS NOT NULL AND page_url IS NOT NULL")
+    return p.groupBy("docid").agg(F.min("page_url").alias("url"))
+
+
+def dump_urls(spark, d):
+    """Addresses of the store from an offset on, at most so many: the dump tool's own arguments."""
+    return _pages(spark, d).filter("request_id >= 20").orderBy("request_id").limit(50).select("request_id", "page_url")
+
+
+def uncrawled_hosts(spark, d):
+    """Hosts without any alias."""
+    return table(spark, d, "hosts").join(table(spark, d, "aliases").select("hid"), "hid", "left_anti").select("hid", "hostname")
+
+
+def ending_links(spark, d):
+    """Pages with a link to an address of one ending, and those links."""
+    l = H.page_links(_pages(spark, d), "request_id", "page_url", "page").select("request_id", "target", U.parse(F.col("target")).alias("p"))
+    return l.filter(U.extension(F.col("p.path")) == "html").select("request_id", "target").distinct()
+
+
+def put_aside(spark, d):
+    """URLs by host, and port where it isn't 80."""
+    p = table(spark, d, "url_queue").filter("u IS NOT NULL").select(U.parse(F.col("u")).alias("p"))
+    place = F.concat("p.net_loc", F.when(~F.col("p.port").isin("", "80"), F.concat(F.lit(":"), F.col("p.port"))).otherwise(F.lit("")))
+    return p.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def alias_totals(spark, d):
+    return R.merge_entries(table(spark, d, "aliases").select("hid", F.lit(1).alias("n")), "hid", "n")
+
+
+def pair_sort(spark, d):
+    return R.sorted_pairs(table(spark, d, "edges").select("from_id", "to_id").filter("from_id IS NOT NULL AND to_id IS NOT NULL"), "from_id", "to_id")
+
+
+def throughput(spark, d):
+    return R.throughput(_pages(spark, d), "crawled_time", "page_size").select(F.col("start").cast("string").alias("start"), "total", "change")
+
+
+def stream_diff(spark, d):
+    """Where the load order of the aliases differs from their order by number, by host."""
+    a = table(spark, d, "aliases").filter("alias_id % 2 = 0")
+    b = table(spark, d, "aliases").filter("alias_id % 2 <> 0")
+    return R.compare_streams(a, b, "alias_id", "hid")
+
+
+def site_numbers(spark, d):
+    """Largest, smallest and total figures over all sites: the scalar reductions."""
+    return table(spark, d, "queue_info").agg(F.min("delay").alias("min_delay"), F.max("delay").alias("max_delay"), F.sum("success_count").alias("success"), F.bool_and(F.col("status") >= 0).alias("all_known"), F.bool_or(F.col("status") > 0).alias("any_busy"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         url_parse, url_canonical, ext_type, url_fields, url_filter_code, url_hashes, reverse_host, id_forms, links_extract, links_resolved, followed_inside, html_plain, html_inline, html_entities, robots_rules,
         host_counts, fwd_links, fwd_links_256, back_links, list_offsets, valid_ids, link_lookup, sort_unique_merge, dedupe_consecutive, seen_set, prefix_scan, crawl_status_totals, consecutive_errors,
         hourly_status, first_ip, next_site, claim_site, alias_merge, alias_prune, host_lookup, stop_reasons, crawl_simulation, politeness, conjunctive_search, title_rank, page_sizes_by_day, site_pages,
+        file_groups, bulk_load, dump_urls, uncrawled_hosts, ending_links, put_aside, alias_totals, pair_sort, throughput, stream_diff, site_numbers,
     )
 }
 
@@ -335,4 +394,16 @@ l AS (SELECT id, site, min(level) AS level FROM r GROUP BY id, site) SELECT site
     "title_rank": f"""SELECT request_id, {ANY("regexp_extract(page, '(?is)<title>(.*?)</title>', 1)", ['link', 'tables'])} AS title_match FROM {ONE} WHERE page IS NOT NULL AND {HAS(PLAIN.format(x='page'), ['link', 'tables'])}""",
     "page_sizes_by_day": f"SELECT CAST(coalesce(sum(page_size), 0) AS BIGINT) AS bytes, count(*) AS pages FROM {ONE} WHERE month(crawled_time) = 1 AND day(crawled_time) = 8",
     "site_pages": f"SELECT queue_id, count(*) AS num_pages, count(page) AS stored_pages FROM {ONE} GROUP BY queue_id",
+    "file_groups": "SELECT CAST(queue_id % 4 AS INTEGER) AS device, list_sort(list(queue_id)) AS sites FROM queue_info GROUP BY queue_id % 4",
+    "bulk_load": "SELECT docid, min(page_url) AS url FROM responses WHERE docid IS NOT NULL AND page_url IS NOT NULL GROUP BY docid",
+    "dump_urls": f"SELECT request_id, page_url FROM {ONE} WHERE request_id >= 20 ORDER BY request_id LIMIT 50",
+    "uncrawled_hosts": "SELECT hid, hostname FROM hosts WHERE hid NOT IN (SELECT hid FROM aliases WHERE hid IS NOT NULL)",
+    "ending_links": TARGETS + " SELECT DISTINCT request_id, target FROM r WHERE lower(string_split(target, ':')[1]) = 'http' AND regexp_matches(target, '(?i)^[^?#;]*/[^/?#;]*\\.html([?#;]|$)')",
+    "put_aside": QP + " SELECT net_loc || (CASE WHEN port NOT IN ('', '80') THEN ':' || port ELSE '' END) AS place, count(*) AS n FROM p GROUP BY ALL",
+    "alias_totals": "SELECT hid, count(*) AS n FROM aliases WHERE hid IS NOT NULL GROUP BY hid",
+    "pair_sort": "SELECT from_id, to_id FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL",
+    "throughput": f"WITH s AS (SELECT date_trunc('hour', crawled_time) AS t, CAST(coalesce(sum(page_size), 0) AS BIGINT) AS total FROM {ONE} WHERE crawled_time IS NOT NULL GROUP BY ALL) SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS start, total, total - lag(total) OVER (ORDER BY t) AS change FROM s",
+    "stream_diff": """WITH a AS (SELECT row_number() OVER (ORDER BY alias_id) AS pos, hid AS a FROM aliases WHERE alias_id % 2 = 0), b AS (SELECT row_number() OVER (ORDER BY alias_id) AS pos, hid AS b FROM aliases WHERE alias_id % 2 <> 0)
+SELECT pos, a, b FROM a FULL JOIN b USING (pos) WHERE a IS DISTINCT FROM b""",
+    "site_numbers": "SELECT min(delay) AS min_delay, max(delay) AS max_delay, CAST(sum(success_count) AS BIGINT) AS success, bool_and(status >= 0) AS all_known, bool_or(status > 0) AS any_busy FROM queue_info",
 }
