@@ -285,6 +285,8 @@ def mend_line(line: str, hints: list | None = None) -> tuple[str, bool]:
         parts = [(_nested(x, hints) or x) if cost(x) >= 2 else x for x in text.split("�")]
         return "�".join(parts), True
     got = _nested(text, hints)
+    if got is None and text != line and not line.isascii():
+        got = _nested(line, hints)  # references of clean marks beside garbled letters
     if got is None:
         # parts of the line may be clean: take the stretches that one encoding can write
         out, changed = text, False
