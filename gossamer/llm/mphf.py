@@ -69,5 +69,28 @@ class Sealed:
             left = left[~on]
         return hit
 
+    def dump(self) -> bytes:
+        """The arrays one after another, each with its length."""
+        parts = [np.array([self.n, len(self.levels)], np.int64), self.prints]
+        for m, words, steps, start in self.levels:
+            parts += [np.array([m, start], np.int64), words, steps]
+        return b"".join(np.int64(a.nbytes).tobytes() + a.tobytes() for a in parts)
+
+    @classmethod
+    def load(cls, data: bytes) -> Sealed:
+        at, parts = 0, []
+        while at < len(data):
+            size = int(np.frombuffer(data, np.int64, 1, at)[0])
+            parts.append(data[at + 8 : at + 8 + size])
+            at += 8 + size
+        s = cls.__new__(cls)
+        s.n = int(np.frombuffer(parts[0], np.int64)[0])
+        s.prints = np.frombuffer(parts[1], np.uint32)
+        s.levels = []
+        for k in range(2, len(parts), 3):
+            m, start = np.frombuffer(parts[k], np.int64).tolist()
+            s.levels.append((m, np.frombuffer(parts[k + 1], np.uint8), np.frombuffer(parts[k + 2], np.uint32), start))
+        return s
+
     def nbytes(self) -> int:
         return self.prints.nbytes + sum(w.nbytes + s.nbytes for _, w, s, _ in self.levels)

@@ -7,10 +7,12 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 TAG = re.compile(r"<[^>\n]*>")
 LETTER = re.compile(r"[^\W\d_]")
-#: Ids that may be sent to every task (16 MB).
-MAX_SENT_IDS = 2_000_000
+#: Ids that may be sent to every task (8 MB).
+MAX_SENT_IDS = 500_000
 
 
 def shown_lines(page: str) -> list[str]:
@@ -21,14 +23,10 @@ def shown_lines(page: str) -> list[str]:
 def flag_redelivered(df: DataFrame, key: str = "request_id") -> DataFrame:
     """``df`` with a boolean ``again``: the key stands in more than one row.
 
-    Only the narrow key column is shuffled; the few repeated keys are sent to the tasks while they are
-    within ``MAX_SENT_IDS``, else they are joined by shuffle.
+    Only the narrow key column is shuffled; the few repeated keys are written, and sent to the tasks
+    while they are within ``MAX_SENT_IDS``, else joined by shuffle.
     """
-    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(key)
-    ids = [r[0] for r in twice.limit(MAX_SENT_IDS + 1).collect() if r[0] is not None]
-    if len(ids) <= MAX_SENT_IDS:
-        kind = df.schema[key].dataType.simpleString()
-        again = F.broadcast(df.sparkSession.createDataFrame([(i, True) for i in ids], f"`{key}` {kind}, again boolean"))
-    else:
-        again = twice.withColumn("again", F.lit(True))
-    return df.join(again, key, "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(key, F.lit(True).alias("again"))
+    twice = written(twice, "redelivered")
+    few = twice.count() <= MAX_SENT_IDS  # from the written footers
+    return df.join(F.broadcast(twice) if few else twice, key, "left").withColumn("again", F.coalesce("again", F.lit(False)))

@@ -29,6 +29,15 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(seen.error_rate(table(spark, d, "hash_log"), "hash_log", "rec_id", "ha_hv"))
 
 
+def p2_new_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The last fifth of the URLs, by arrival, against the sealed index of all earlier ones."""
+    q = table(spark, d, "url_queue").select("entry_id", "u")
+    last = q.agg(F.max("entry_id")).first()[0] or 0
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = seen.seal(q.filter(F.col("entry_id") <= 0.8 * last), "u", shards)
+    return seen.seen_in_index(q.filter(F.col("entry_id") > 0.8 * last), "url_queue", "entry_id", "u", index, shards)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.variant_groups(
         [
@@ -105,4 +114,5 @@ SELECT s.request_id, CAST(s.line_no AS INTEGER) AS line_no FROM s JOIN c USING (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p5_found": P5}
+    late = P2.split("UNION ALL")[0] + " AND entry_id > 0.8 * (SELECT max(entry_id) FROM url_queue)"
+    return {"p2_found": P2, "p2_new_batch": late, "p5_found": P5}

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .mphf import Sealed
 
 #: Rows compared exactly with one another before their keys are sealed.
@@ -133,6 +134,57 @@ def seen_in(parts: list[tuple[DataFrame, str, str, str]], total: int | None = No
     return hits.select(F.element_at(names, F.col("tab").cast("int") + 1).alias("tab"), "rec_id")
 
 
+def _hashed(df: DataFrame, key: str) -> list:
+    return [F.xxhash64(F.lit(1), F.col(key)).alias("h1"), F.xxhash64(F.lit(-2), F.col(key)).alias("h2")]
+
+
+def seal(df: DataFrame, key: str, shards: int) -> DataFrame:
+    """The keys of ``df`` as sealed partitions: ``shard``, ``n`` (distinct keys) and ``blob``.
+
+    Write the result to a table and append to it after each batch; it holds about six bytes a key and
+    no key.  ``shards`` must stay the same for all batches of an index.  Nulls are no keys.
+    """
+    keys = df.filter(F.col(key).isNotNull()).select(*_hashed(df, key)).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        if not cols:
+            return
+        shard, h1, h2 = (np.concatenate(c) for c in zip(*cols))
+        for s in np.unique(shard):
+            on = shard == s
+            a, at = np.unique(h1[on], return_index=True)
+            one = Sealed(a, (h2[on][at].view(np.uint64) >> np.uint64(32)).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([one.n], pa.int64()), pa.array([one.dump()], pa.binary())], ["shard", "n", "blob"])
+
+    placed = keys.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2").repartition(shards, "shard")
+    return placed.mapInArrow(run, "shard int, n bigint, blob binary")
+
+
+def seen_in_index(batch: DataFrame, tab: str, rec_id: str, key: str, index: DataFrame, shards: int) -> DataFrame:
+    """Rows of a new batch whose key is in the ``index`` of all earlier batches, or under a smaller id of
+    the batch itself: ``tab``, ``rec_id``.
+
+    Each shard of the batch meets that shard's sealed partitions only; copies inside a map task are
+    decided there and don't travel with their key, so a hot key costs its shard one row a task.
+    """
+    rows = batch.filter(F.col(key).isNotNull()).select(F.lit(0).cast("tinyint").alias("tab"), F.col(rec_id).cast("bigint").alias("rec_id"), *_hashed(batch, key))
+    local = written(rows.mapInArrow(_local, "tab tinyint, rec_id bigint, h1 bigint, h2 bigint, seen boolean"), "seen-batch")
+    open_ = local.filter("NOT seen").select("rec_id", "h1", "h2", F.pmod("h1", F.lit(shards)).cast("int").alias("shard"))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        rid, h1, h2 = (left.column(c).to_numpy() for c in ("rec_id", "h1", "h2"))
+        first = _firsts(h1, h2, rid) if len(rid) else np.zeros(0, bool)
+        prints = (h2.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        old = np.zeros(len(rid), bool)
+        for blob in right.column("blob").to_pylist():
+            old |= Sealed.load(blob).has(h1, prints)
+        return pa.table({"rec_id": pa.array(rid[old | ~first], pa.int64())})
+
+    found = open_.groupBy("shard").cogroup(index.select(F.col("shard").alias("part"), "blob").groupBy("part")).applyInArrow(probe, "rec_id bigint")
+    return local.filter("seen").select("rec_id").unionByName(found).select(F.lit(tab).alias("tab"), "rec_id")
+
+
 def error_rate(df: DataFrame, tab: str, rec_id: str, key: str) -> DataFrame:
     """Measured wrong answers of ``seen_before`` on ``df``, against exact grouping of the keys.
 

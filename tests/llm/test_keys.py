@@ -40,6 +40,21 @@ def test_seen_before(spark, monkeypatch):
     assert seen.seen_before(twice, "t", "id", "key").isEmpty()
 
 
+def test_sealed_index_over_batches(spark, tmp_path):
+    random.seed(3)
+    rows = [(k, random.choice(["hot", None, "", f"k{random.randrange(200)}"])) for k in range(900)]
+    where, got = str(tmp_path / "index"), set()
+    for n, at in enumerate(range(0, 900, 300)):
+        batch = spark.createDataFrame(rows[at : at + 300], "id bigint, key string").repartition(3)
+        index = spark.read.schema("shard int, n bigint, blob binary").parquet(where) if n else spark.createDataFrame([], "shard int, n bigint, blob binary")
+        got |= {r.rec_id for r in seen.seen_in_index(batch, "t", "id", "key", index, 5).collect()}
+        seen.seal(batch, "key", 5).write.mode("append").parquet(where)
+    first: dict = {}
+    for i, k in rows:
+        first.setdefault(k, i)
+    assert got == {i for i, k in rows if k is not None and first[k] < i}
+
+
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
