@@ -19,11 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     It is what ``spark.checkpoint.dir`` names; a temporary local folder is set only where that
-    setting is absent (tests on a single machine).
+    setting is absent on a single machine (tests).  On a cluster its absence is an error.
     """
     have = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
     if have:
         return have
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"on a cluster {CHECKPOINT_CONF} must name a folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='gossamer-')}"
     spark.conf.set(CHECKPOINT_CONF, own)
     spark.sparkContext.setCheckpointDir(own)
