@@ -20,17 +20,17 @@ INLINE = "a b big em font i s small strike strong sub sup tt u code dfn kbd samp
 MIN_TAG = 8
 
 
-def tags(page: Column, mode: str = "reference") -> Column:
+def tags(page: Column, mode: str = "scanner") -> Column:
     """The tag bodies of a page in order; a tag ends at its first ``>``.
 
-    ``reference`` reads tags inside comments too, as a scanner without comment handling does; ``clean``
+    ``scanner`` reads tags inside comments too, as a scanner without comment handling does; ``clean``
     takes comments out first.
     """
     text = F.regexp_replace(page, r"(?s)<!--.*?-->", "") if mode == "clean" else page
     return F.regexp_extract_all(text, F.lit(r"(?s)<([^>]*)>"), 1)
 
 
-def links(page: Column, mode: str = "reference") -> Column:
+def links(page: Column, mode: str = "scanner") -> Column:
     """Links of a page: array of (pos, tag, link) in order; ``&amp;`` in a link is read as ``&``."""
     bodies = F.transform(tags(page, mode), lambda b, i: F.struct(i.alias("pos"), F.lower(F.regexp_extract(b, r"^([A-Za-z]+)\s", 1)).alias("tag"), b.alias("body")))
     wanted = F.filter(bodies, lambda t: t["tag"].isin(*LINK_TAGS) & (F.length(t["body"]) >= MIN_TAG))

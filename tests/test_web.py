@@ -98,6 +98,18 @@ def test_page_store_survives_damage(spark, tmp_path):
     assert struct.unpack(">I", records[0][:4])[0] == S.MAGIC
 
 
+def test_page_store_by_site(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 0, "x"), ("a", 9, "y"), ("b", 0, None)], "site string, offset bigint, body string")
+    path = str(tmp_path / "store")
+    S.write_page_store(pages, path, "site")
+    S.write_page_store(pages.filter("site = 'b'"), path, "site")
+    assert S.scan_page_store(spark, path).count() == 4
+    assert [r.body for r in S.scan_page_store(spark, path, "a", offset=5).collect()] == ["y"]
+    assert {(r.site, r.num_pages) for r in S.site_sizes(S.scan_page_store(spark, path), "site").collect()} == {("a", 2), ("b", 2)}
+    plan = S.scan_page_store(spark, path, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(site" in plan
+
+
 def test_text_formats(spark, tmp_path):
     (tmp_path / "g.metis").write_text("% c\n3 2 001\n2 5\n1 5 3 7\n2 7\n")
     v, e = S.read_metis(spark, str(tmp_path / "g.metis"))
