@@ -2,7 +2,9 @@
 
 Whether a word with a full stop is an abbreviation is first settled inside the document, from places
 where the same word stands unambiguously (with a stop before a small letter, or without any stop), then
-by the same counts over the whole corpus, last by a short list.  Scripts have their own terminators.
+by the same counts over the whole corpus, last by a short list.  Whether an abbreviation ends its sentence
+is settled by the capitalised word behind it: one that the document also writes small, and never with a
+capital inside a sentence, is no name.  Scripts have their own terminators.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SHORT = frozenset(
 )
 #: Those that may end a sentence.
 FINAL = frozenset("etc usw usf p.m a.m al д п др пр Jr s Co Inc Ltd Corp гг руб".split())
+#: Those that stand before names only.
+TITLES = frozenset("Dr Mr Mrs Ms Prof St Sr Sra Dra Hr Fr MM Mlle проф".split())
 MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
@@ -46,6 +50,8 @@ OPENERS = "“„«\"'‘(¿¡[「『（"
 #: Marks that end the word before them.
 BEFORE = "(“„«\"‘[「『（/。！？，、：；”」』）…》"
 CAP_WORD = re.compile(r"[“„«\"'‘(¿¡\[]*([^\W\d_]+)")
+#: A word inside a sentence: a small letter, with a comma or not, stands before it.
+INNER = re.compile(r"(?<=[^\W\d_A-Z])[,;]?\s([^\W\d_]+)")
 #: A word that looks like a file, host or such may begin a sentence with a small letter.
 NAMELIKE = re.compile(r"[\"“„«(]?(?=[0-9.]*[a-z])(?:[a-z0-9_-]+\.)+[a-z0-9]+|[“„«(]?(?:e\.g\.|i\.e\.)")
 THAI = "฀-๿"
@@ -59,7 +65,7 @@ INITIALS = re.compile(r"(?:[^\W\d_](?:\.-?|-))+[^\W\d_]")
 class Known(NamedTuple):
     """What the corpus tells: abbreviations, those that may end a sentence, and ordinary words."""
 
-    short: frozenset = SHORT
+    short: frozenset = frozenset()
     final: frozenset = FINAL
     plain: frozenset = frozenset()
 
@@ -125,17 +131,18 @@ def corpus_knowledge(texts: DataFrame) -> Known:
     # "plain" also counts the word where its stop follows
     often = sums.withColumn("dots", dots).filter(F.col("dots") >= CORPUS_LEAST).withColumn("bare", F.greatest(F.col("plain") - F.col("dots"), F.lit(0)))
     rows = often.orderBy(F.desc("dots"), "word").limit(MAX_SENT).collect()
-    short, final, ordinary = set(SHORT), set(FINAL), set()
+    short, final, ordinary = set(), set(FINAL), set()
     for r in rows:
         inside = r["low"] + r["digit"]
         caps = r["common"] + r["name"]
-        if r["bare"] <= 0.1 * r["dots"] and (inside >= 0.2 * r["dots"] or len(r["word"]) <= TITLE and caps and r["name"] >= 0.9 * caps):
+        before = inside >= 0.2 * r["dots"] or len(r["word"]) <= TITLE and caps and r["name"] >= 0.9 * caps
+        if before and r["bare"] <= 0.1 * r["dots"]:
             short.add(r["word"])
             if caps >= 5 and r["common"] >= 0.3 * caps:
                 final.add(r["word"])
-        elif r["word"] not in SHORT:
+        elif not before and r["bare"] > 0.1 * r["dots"]:  # else the counts settle nothing
             ordinary.add(r["word"])
-    return Known(frozenset(short - ordinary), frozenset(final), frozenset(ordinary))
+    return Known(frozenset(short), frozenset(final), frozenset(ordinary))
 
 
 class Document:
@@ -144,27 +151,68 @@ class Document:
     def __init__(self, text: str, known: Known):
         self.text, self.known = text, known
         self._plain: Counter | None = None
-        self._sorts: dict[str, Counter] | None = None
-
-    def _learn(self) -> None:
-        self._plain = Counter(WORD.findall(self.text))
-        self._sorts = {}
-        for w, sort in _uses(self.text, self._plain):
-            self._sorts.setdefault(w, Counter())[sort] += 1
+        self._dotted: dict[str, list[int]] | None = None
+        self._names: Counter | None = None
+
+    @property
+    def plain(self) -> Counter:
+        if self._plain is None:
+            self._plain = Counter(WORD.findall(self.text))
+        return self._plain
+
+    def _uses(self, word: str) -> list[int]:
+        """Places of the word with a full stop: before a small letter or a mark inside a sentence, before
+        a digit, all."""
+        if self._dotted is None:
+            self._dotted = {}
+            for m in DOTTED.finditer(self.text):
+                c = self._dotted.setdefault(m.group(1), [0, 0, 0])
+                c[2] += 1
+                nxt = m.group(2)
+                if nxt is None:
+                    c[0] += self.text[m.end()] != ")"  # a sentence in brackets may end there
+                elif not NAMELIKE.match(nxt) and not BLANK.search(self.text, m.end(), m.start(2)):
+                    w = CAP_WORD.match(nxt)
+                    c[0] += bool(w and w.group(1)[0].islower())
+                    c[1] += nxt[0].isdigit()
+        return self._dotted.get(word, [0, 0, 0])
+
+    def _bare(self, word: str) -> bool:
+        """Whether the word stands by itself without a stop, not as a part of a file name or such."""
+        return re.search(rf"(?<![^\s(\[{{“„«\"'‘]){re.escape(word)}(?![^\s,;:!?)\]}}”»\"])", self.text) is not None
 
     def is_short(self, word: str) -> bool:
-        if word in self.known.plain:
+        """Whether the word is an abbreviation: by the document, then the corpus, last the list."""
+        known = self.known
+        listed = word in known.short or word in SHORT or INITIALS.fullmatch(word) is not None
+        if len(word) > 8 and not listed:
             return False
-        if word in self.known.short or INITIALS.fullmatch(word):
+        low, digit, dots = self._uses(word)
+        # without a place before a small letter or a digit only a listed word is in doubt
+        if low or listed:
+            bare = self.plain.get(word, 0) > dots and (not listed or self._bare(word))
+            if low and not bare:
+                return True
+            if bare and not low and not digit:
+                return False
+        if word in known.short:
             return True
-        if len(word) > 8:
+        return listed and word not in known.plain
+
+    def is_common(self, m: re.Match | None, stop: int) -> bool:
+        """Whether the capitalised word of the match is an ordinary word that begins a sentence.
+
+        The document writes it small elsewhere, never with a capital inside a sentence, and no second
+        capitalised word follows as in a name.
+        """
+        if m is None or len(m.group(1)) < 2 or not m.group(1)[0].isupper() or not self.plain.get(m.group(1).lower()):
+            return False
+        after = CAP_WORD.match(self.text, m.end() + 1, stop) if m.end() < stop and self.text[m.end()].isspace() else None
+        if after is None or not after.group(1)[0].islower():
             return False
-        if self._sorts is None:
-            self._learn()
-        c = self._sorts.get(word, {})
-        inside = c.get("low", 0)
-        bare = self._plain.get(word, 0) - sum(c.values())
-        return inside > 0 and bare <= 0
+        if self._names is None:
+            self._names = Counter(w for w in INNER.findall(self.text) if w[0].isupper())
+        return not self._names[m.group(1)]
 
 
 def _opener_at(text: str, at: int, start: int, opener: str, closer: str) -> int:
@@ -292,7 +340,7 @@ def _decide(text: str, m: re.Match, at: int, stop: int, doc: Document) -> int:
         return end if starts else 0
     if not token:
         return end if starts else 0
-    if token in doc.known.short and not token[-1].isalpha():
+    if not token[-1].isalpha() and (token in SHORT or token in doc.known.short):
         return 0  # an abbreviation that ends in a combining mark
     if token[-1].isdigit() or not token[-1].isalpha():
         if b == at and token.isdigit():
@@ -309,7 +357,7 @@ def _decide(text: str, m: re.Match, at: int, stop: int, doc: Document) -> int:
             return end if starts and not text[k].isdigit() else 0
         return 0  # an initial or a part of an abbreviation
     if whole and doc.is_short(word):
-        if word in doc.known.final and starts and not text[k].isdigit():
+        if starts and not text[k].isdigit() and (word in doc.known.final or word not in TITLES and doc.is_common(CAP_WORD.match(text, k, stop), stop)):
             return end
         return 0
     return end if starts else 0

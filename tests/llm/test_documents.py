@@ -96,3 +96,23 @@ def test_layout_of_paragraphs(spark):
 def test_a_word_is_settled_by_the_document():
     text = "The abt. value rose. We saw the abt. Value Nine again."
     assert cut(text) == ["The abt. value rose.", "We saw the abt. Value Nine again."]
+
+
+def test_the_document_goes_before_the_corpus_and_the_list():
+    plain = sentences.Known(plain=frozenset(["qty"]))
+
+    def cut_by(text, known):
+        ends = sentences.boundaries(text, known)
+        return [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+
+    # listed or settled by the corpus, but an ordinary word here
+    assert cut_by("His Art is old. He sold Art. Then they left.", sentences.Known()) == ["His Art is old.", "He sold Art.", "Then they left."]
+    assert cut_by("The qty is five. It has qty. Then it fell.", sentences.Known(short=frozenset(["qty"])))[1:] == ["It has qty.", "Then it fell."]
+    # ordinary in the corpus, but an abbreviation here
+    assert cut_by("Set qty. to five. The qty. Rows came.", plain) == ["Set qty. to five.", "The qty. Rows came."]
+    # the corpus goes before the list
+    assert cut_by("He sold Art. Then they left.", sentences.Known(plain=frozenset(["Art"]))) == ["He sold Art.", "Then they left."]
+    # an ordinary word, no name, follows
+    assert cut_by("We drop it approx. The queue waits, but the host waits.", sentences.Known()) == ["We drop it approx.", "The queue waits, but the host waits."]
+    # neither a file name nor another paragraph tells
+    assert cut_by("See the file x.cf or y, cf. No. 5. It ends in cause.\n\nif x. So is the cause.\n\nif y. It is the cause. No more.", sentences.Known())[-1] == "No more."
