@@ -18,15 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import skew_join
+from ..session import written
+
 #: Kinds whose lines are sentences each.
 LINE_KINDS = ("log", "list")
-#: Rows of a corpus batch whose counts leave a task together; rarer words of a batch aren't counted.
-BATCH_CHARS, BATCH_LEAST = 4_000_000, 3
+#: Characters whose counts leave a task together; the sums don't depend on it.
+BATCH_CHARS = 4_000_000
 #: Occurrences from which corpus counts decide.
 CORPUS_LEAST = 8
+#: Share of a word's uses, in the corpus, in small letters from which it is no name.
+SMALL = 0.1
 #: Letters of a title, an abbreviation that only names follow.
 TITLE = 4
-#: Words that may be abbreviations, sent to every task.
+#: Abbreviations of the corpus that may be sent to every task; beyond it each text is joined with its own.
 MAX_SENT = 20_000
 
 # Abbreviations of the corpus's languages for words the counts don't settle.
@@ -59,6 +64,9 @@ THAI_GAP = re.compile(rf"(?<=[{THAI}])([^\S\n]+)(?=[{THAI}])")
 THAI_LATIN = re.compile(rf"(?<=[{THAI}])([^\S\n]+)(?=[“\"(]?[A-ZÀ-Ý])")
 THAI_CHAR = re.compile(rf"[{THAI}]")
 WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+#: Whatever may be asked for as an abbreviation.
+STOPPED = re.compile(r"[^\W\d_]+(?:[.-]{1,2}[^\W\d_]+)*(?=\.)")
+STOPPED_TAIL = re.compile(r"[^\W\d_぀-ヿ㐀-鿿豈-﫿]+(?:[.-]{1,2}[^\W\d_]+)*$")
 INITIALS = re.compile(r"(?:[^\W\d_](?:\.-?|-))+[^\W\d_]")
 
 
@@ -70,79 +78,87 @@ class Known(NamedTuple):
     plain: frozenset = frozenset()
 
 
-def _uses(text: str, lower: Counter | dict):
-    """(word, sort of what follows) of every word with a full stop."""
+def _uses(text: str):
+    """(word, sort of what follows, that word in small letters) of every word with a full stop."""
     for m in DOTTED.finditer(text):
         nxt = m.group(2)
         if nxt is None:
-            yield m.group(1), "low"
+            yield m.group(1), "low", None
             continue
-        if NAMELIKE.match(nxt):
-            yield m.group(1), "any"
+        if NAMELIKE.match(nxt) or BLANK.search(text, m.end(), m.start(2)):
+            yield m.group(1), "other", None
             continue
         w = CAP_WORD.match(nxt)
         if w is None:
-            yield m.group(1), "digit" if nxt[0].isdigit() else "any"
+            yield m.group(1), "digit" if nxt[0].isdigit() else "other", None
         elif w.group(1)[0].isupper():
             # an initial or another abbreviation is no sign of a new sentence
-            yield m.group(1), "common" if len(w.group(1)) > 1 and w.group(1) not in SHORT and lower.get(w.group(1).lower(), 0) else "name"
+            yield m.group(1), "name", w.group(1).lower() if len(w.group(1)) > 1 and w.group(1) not in SHORT else None
         elif w.group(1)[0].islower():
-            yield m.group(1), "low"
+            yield m.group(1), "low", None
         else:
-            yield m.group(1), "any"
+            yield m.group(1), "other", None
+
+
+COUNTS = ("plain", "low", "digit", "name", "other")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, plain, low, digit, common, name, any) over batches of texts."""
-    held: list[str] = []
+    """(word, next, plain, low, digit, name, other) over batches of texts; ``next`` is the capitalised
+    word that follows, in small letters, or null."""
+    plain: Counter = Counter()
+    dotted: Counter = Counter()
     size = 0
 
     def out() -> pa.RecordBatch:
-        plain = Counter(w for t in held for w in WORD.findall(t))
-        sorts: dict[str, Counter] = {}
-        for t in held:
-            for w, sort in _uses(t, plain):
-                if len(w) <= 8:
-                    sorts.setdefault(w, Counter())[sort] += 1
-        rows = [(w, plain.get(w, 0), c["low"], c["digit"], c["common"], c["name"], c["any"]) for w, c in sorts.items() if c.total() >= BATCH_LEAST]
-        cols = list(zip(*rows)) if rows else [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(cols)], ["word", "plain", "low", "digit", "common", "name", "other"])
+        rows: dict[tuple, list[int]] = {(w, None): [n, 0, 0, 0, 0] for w, n in plain.items()}
+        for (w, sort, nxt), n in dotted.items():
+            rows.setdefault((w, nxt), [0] * 5)[COUNTS.index(sort)] += n
+        cols = list(zip(*((*k, *v) for k, v in rows.items()))) if rows else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(cols)], ["word", "next", *COUNTS])
 
     for b in batches:
         for t in b.column(0).to_pylist():
-            held.append(t)
+            plain.update(WORD.findall(t))
+            dotted.update(x for x in _uses(t) if len(x[0]) <= 8)
             size += len(t)
             if size > BATCH_CHARS:
                 yield out()
-                held.clear()
-                size = 0
-    if held:
+                plain, dotted, size = Counter(), Counter(), 0
+    if plain:
         yield out()
 
 
-def corpus_knowledge(texts: DataFrame) -> Known:
-    """Abbreviations of the corpus by counts over all ``texts`` (one string column).
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """What the corpus settles by counts over all ``texts`` (one string column): ``word``, ``short``,
+    ``final`` and ``plain``.
 
-    The words kept are those with a full stop in most places: a property of the languages, bounded by
-    ``MAX_SENT`` (the most frequent).
+    Every use counts, wherever the batches and partitions end.  Ordinary words stand here only where
+    they would else be taken for abbreviations.
     """
-    sums = texts.mapInArrow(_counts, "word string, plain bigint, low bigint, digit bigint, common bigint, name bigint, other bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("plain", "low", "digit", "common", "name", "other")])
-    dots = F.col("low") + F.col("digit") + F.col("common") + F.col("name") + F.col("other")
+    sums = texts.mapInArrow(_counts, "word string, next string, " + ", ".join(f"{c} bigint" for c in COUNTS)).groupBy("word", "next").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    sums = written(sums, "word-counts")
+    dots = F.col("low") + F.col("digit") + F.col("name") + F.col("other")
     # "plain" also counts the word where its stop follows
-    often = sums.withColumn("dots", dots).filter(F.col("dots") >= CORPUS_LEAST).withColumn("bare", F.greatest(F.col("plain") - F.col("dots"), F.lit(0)))
-    rows = often.orderBy(F.desc("dots"), "word").limit(MAX_SENT).collect()
-    short, final, ordinary = set(), set(FINAL), set()
-    for r in rows:
-        inside = r["low"] + r["digit"]
-        caps = r["common"] + r["name"]
-        before = inside >= 0.2 * r["dots"] or len(r["word"]) <= TITLE and caps and r["name"] >= 0.9 * caps
-        if before and r["bare"] <= 0.1 * r["dots"]:
-            short.add(r["word"])
-            if caps >= 5 and r["common"] >= 0.3 * caps:
-                final.add(r["word"])
-        elif not before and r["bare"] > 0.1 * r["dots"]:  # else the counts settle nothing
-            ordinary.add(r["word"])
-    return Known(frozenset(short), frozenset(final), frozenset(ordinary))
+    often = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]).withColumn("dots", dots).filter(F.col("dots") >= CORPUS_LEAST).withColumn("bare", F.greatest(F.col("plain") - F.col("dots"), F.lit(0)))
+    often = written(often.filter((F.col("bare") <= 0.1 * F.col("dots")) | F.col("word").isin(*SHORT) | F.col("word").rlike(r"^.[.-]")), "words-in-doubt")
+    # a word that is also written small, and not only now and then, is no name
+    forms = sums.filter("next IS NULL AND plain > 0").groupBy(F.lower("word").alias("next")).agg(F.sum(F.when(F.col("word") == F.lower("word"), F.col("plain")).otherwise(0)).alias("small"), F.sum("plain").alias("all"))
+    small = forms.filter((F.col("small") > 0) & (F.col("small") >= SMALL * F.col("all"))).select("next")
+    after = sums.filter("next IS NOT NULL").select("word", "next", "name").join(often.select("word"), "word", "left_semi")
+    common = after.join(small, "next", "left_semi").groupBy("word").agg(F.sum("name").alias("common"))
+    c = often.join(common, "word", "left").withColumn("common", F.coalesce("common", F.lit(0))).withColumn("caps", F.col("name")).withColumn("name", F.col("caps") - F.col("common"))
+    before = (F.col("low") + F.col("digit") >= 0.2 * F.col("dots")) | (F.length("word") <= TITLE) & (F.col("caps") > 0) & (F.col("name") >= 0.9 * F.col("caps"))
+    short = before & (F.col("bare") <= 0.1 * F.col("dots"))
+    final = short & (F.col("caps") >= 5) & (F.col("common") >= 0.3 * F.col("caps"))
+    plain = ~before & (F.col("bare") > 0.1 * F.col("dots"))  # else the counts settle nothing
+    return c.select("word", short.alias("short"), final.alias("final"), plain.alias("plain")).filter("short OR plain")
+
+
+def known_of(rows) -> Known:
+    """What the rows of ``corpus_counts`` tell."""
+    rows = [(r["word"], r["short"], r["final"], r["plain"]) for r in rows]
+    return Known(frozenset(r[0] for r in rows if r[1]), FINAL | {r[0] for r in rows if r[2]}, frozenset(r[0] for r in rows if r[3]))
 
 
 class Document:
@@ -401,17 +417,35 @@ def sentence_ends(df: DataFrame, key: str = "doc_id", text: str = "text", kind:
     other columns are not read.
     """
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(kind), F.lit("")).alias("kind")).filter("text IS NOT NULL")
-    known = corpus_knowledge(rows.filter(~F.col("kind").isin(*LINE_KINDS)).select("text"))
-    sent = df.sparkSession.sparkContext.broadcast(known)
+    counts = written(corpus_counts(rows.filter(~F.col("kind").isin(*LINE_KINDS)).select("text")), "abbreviations")
+    few = counts.limit(MAX_SENT + 1).collect()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = sent.value
+    def cut(batches: Iterator[pa.RecordBatch], have) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ends = [], []
-            for k, t, how in zip(*(b.column(i).to_pylist() for i in range(3))):
-                got = line_ends(t) if how in LINE_KINDS else boundaries(t, have)
+            for k, t, how, *own in zip(*(c.to_pylist() for c in b.columns)):
+                got = line_ends(t) if how in LINE_KINDS else boundaries(t, have if have is not None else known_of(own[0] or ()))
                 ids += [k] * len(got)
                 ends += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int64())], [key, "end_pos"])
 
-    return rows.mapInArrow(run, f"`{key}` bigint, end_pos bigint")
+    schema = f"`{key}` bigint, end_pos bigint"
+    if len(few) <= MAX_SENT:
+        sent = df.sparkSession.sparkContext.broadcast(known_of(few))
+        return rows.mapInArrow(lambda batches: cut(batches, sent.value), schema)
+    # too many to be sent: each text meets the findings on its own words
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    asked = rows.filter(~F.col("kind").isin(*LINE_KINDS)).select("print", "text").mapInArrow(_asked, "print bigint, word string").distinct()
+    own = skew_join(asked, counts, "word").groupBy("print").agg(F.collect_list(F.struct("word", "short", "final", "plain")).alias("own"))
+    return skew_join(rows, own, "print", "left").select("key", "text", "kind", "own").mapInArrow(lambda batches: cut(batches, None), schema)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(print, word) of the words and tokens with a full stop of each text."""
+    for b in batches:
+        prints, words = [], []
+        for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            own = {w for x in STOPPED.findall(t) for w in (x, *STOPPED_TAIL.findall(x)) if len(w) <= 8}
+            prints += [p] * len(own)
+            words += own
+        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(words, pa.string())], ["print", "word"])

@@ -116,3 +116,16 @@ def test_the_document_goes_before_the_corpus_and_the_list():
     assert cut_by("We drop it approx. The queue waits, but the host waits.", sentences.Known()) == ["We drop it approx.", "The queue waits, but the host waits."]
     # neither a file name nor another paragraph tells
     assert cut_by("See the file x.cf or y, cf. No. 5. It ends in cause.\n\nif x. So is the cause.\n\nif y. It is the cause. No more.", sentences.Known())[-1] == "No more."
+
+
+def test_corpus_counts_hold_every_use(spark, monkeypatch):
+    texts = [f"Row {k} has qnt. of x." for k in range(9)] + [f"The wub {k} is on." for k in range(60)] + [f"It has a wub. Then {k} came." for k in range(9)]
+    rows = [(k, t, "note") for k, t in enumerate(texts)] + [(500, "It shows qnt. Rows and 今qnt. Rows here.", "note"), (501, "He has qnt. Rows.", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string").repartition(20)
+    monkeypatch.setattr(sentences, "BATCH_CHARS", 30)  # one use a batch
+    got = {r["word"]: (r["short"], r["plain"]) for r in sentences.corpus_counts(df.select("text")).collect()}
+    assert got.get("qnt") == (True, False) and "wub" not in got
+    want = {tuple(r) for r in sentences.sentence_ends(df).collect()}
+    assert {e for k, e in want if k == 501} == {17}
+    monkeypatch.setattr(sentences, "MAX_SENT", 0)  # by join
+    assert {tuple(r) for r in sentences.sentence_ends(df).collect()} == want
