@@ -58,6 +58,11 @@ class Items:
         self.windows = tuple(np.array(w, np.int32).reshape(-1, n) for w, n in zip(windows, (WORDS, TRIGRAMS)))
         self.texts = {item: (int((lang or "").lower().split("-")[0] == "zh"), text) for item, text, lang in rows if text and item is not None}
         self.owner = tuple(np.array(o, np.int64) for o in owner)
+        # tokens that few items hold
+        held = tuple(np.zeros(len(v), np.int64) for v in self.vocab)
+        for kind, text in self.texts.values():
+            held[kind][[self.vocab[kind][t] for t in set(tokens_of(text, kind))]] += 1
+        self.rare = tuple(h <= max(3, RARE * len(self.texts)) for h in held)
 
 
 def tokens_of(text: str, kind: int) -> list[str]:
@@ -188,7 +193,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _study(docs: DataFrame, held_out: DataFrame, doc_id: str, item_id: str, text: str, lang: str):
     """The items, the documents' two columns, their passages (written), which of the items' tokens are
-    rare in the documents, and their idf."""
+    rare, and their idf."""
     items = Items([(r[0], r[1], r[2]) for r in held_out.select(item_id, text, lang).limit(MAX_ITEMS + 1).collect()])
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     passages = written(rows.mapInArrow(_passages(items), PASSAGE), "passages")
@@ -196,7 +201,8 @@ def _study(docs: DataFrame, held_out: DataFrame, doc_id: str, item_id: str, text
     counted = passages.filter("doc_id IS NULL").select("kind", F.posexplode("ids").alias("pos", "n")).groupBy("kind", "pos").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # the items' vocabulary
         freq[r["kind"]][r["pos"]] = r["n"]
-    rare = tuple(f[:-1] <= max(3, RARE * f[-1]) for f in freq)
+    # rare in the documents, or in the items: the leak's own copies can't raise the latter
+    rare = tuple((f[:-1] <= max(3, RARE * f[-1])) | r for f, r in zip(freq, items.rare))
     return items, rows, passages, rare, tuple(np.log((f[-1] + 1) / (f[:-1] + 1)).astype(np.float32) + np.float32(0.1) for f in freq)
 
 
@@ -255,7 +261,7 @@ SPAN, LEAST_KNOWN = (40, 60), (12, 18)
 #: Latent cosine of a candidate; share of the passage that the longest common subsequence must cover;
 #: rare tokens (names, numbers: the answers) in common.
 NEAR, COVER, ANSWERS = 0.7, 0.4, 3
-#: Share of the documents up to which a token is rare.
+#: Share of the documents, or of the items, up to which a token is rare.
 RARE = 0.002
 
 
@@ -272,13 +278,49 @@ def _common(a: list[int], b: list[int]) -> tuple[int, int]:
     return best, int(row[-1])
 
 
+def _prints(windows: np.ndarray) -> np.ndarray:
+    """A number for each window, the same for equal ones."""
+    by = np.random.default_rng(1).integers(1, 2**62, windows.shape[1], np.int64) | 1
+    return (windows.astype(np.int64) * by).sum(1)
+
+
+def _word_for_word(ids: np.ndarray, kind: int, items: Items, index: tuple, rare: np.ndarray):
+    """(item, run, lcs, answers) of each longest run of a document that holds a passage of an item.
+
+    ``index``: the prints of the items' windows in order, and where these windows stand.
+    """
+    n, span, own = (WORDS, TRIGRAMS)[kind], SPAN[kind], items.windows[kind]
+    if len(ids) < n or not len(own):
+        return
+    cut, (prints, place) = _cut(ids, n), index
+    whole = np.flatnonzero((_cut(ids >= 0, n)).all(1))
+    here = _prints(cut[whole])
+    first, last = np.searchsorted(prints, here, "left"), np.searchsorted(prints, here, "right")
+    hits = {(int(i), int(j)) for i, a, b in zip(whole[last > first], first[last > first], last[last > first]) for j in place[a:b] if (cut[i] == own[j]).all()}
+    owner = items.owner[kind]
+    same = lambda i, j, k: (i + k, j + k) in hits and owner[j + k] == owner[j]
+    for i, j in hits:
+        if j and same(i, j, -1):
+            continue
+        k = 0
+        while same(i, j, k + 1):
+            k += 1
+        a, b = ids[i : i + span].tolist(), [*own[j].tolist()]
+        for x in range(j + 1, min(j + span - n + 1, len(own))):
+            if owner[x] != owner[j]:
+                break
+            b.append(int(own[x][-1]))
+        yield int(owner[j]), k + n, _common(a, b)[1], len({x for x in a if x >= 0 and rare[x]} & set(b))
+
+
 def similar_passages(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Documents and items with a passage in common word for word or reworded: ``doc_id``, ``item_id``,
     ``run`` (longest common run), ``lcs`` (longest common subsequence of a passage) and ``answers`` (rare
     tokens in common), each the largest of the pair's passages.
 
-    Passages of ``SPAN`` tokens at every half span are candidates by latent cosine; the subsequence and
-    the answers decide.  Nulls, repeats and empty tables as in ``leaked_items``.
+    Every pair of ``leaked_items`` is a case, whatever its answers.  Besides, passages of ``SPAN`` tokens at
+    every half span are candidates by latent cosine; the subsequence and the answers decide.  Nulls, repeats
+    and empty tables as in ``leaked_items``.
     """
     spark = docs.sparkSession
     items, rows, passages, rare, idfs = _study(docs, held_out, doc_id, item_id, text, lang)
@@ -292,7 +334,9 @@ def similar_passages(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id
     for kind, spans in known.items():
         if spans:
             placed = (idfs[kind][:, None] * latent_basis(passages, items, kind, idfs[kind])).astype(np.float32)
-            kinds[kind] = (placed, _unit(np.stack([placed[ids].sum(0) for _, ids in spans])), rare[kind])
+            prints = _prints(items.windows[kind])
+            order = np.argsort(prints, kind="stable")
+            kinds[kind] = (placed, _unit(np.stack([placed[ids].sum(0) for _, ids in spans])), rare[kind], (prints[order], order))
     sent = spark.sparkContext.broadcast((items, known, kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,11 +344,15 @@ def similar_passages(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id
         for b in batches:
             out: dict[tuple[int, int], list[int]] = {}
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for kind, (placed, there, rare) in kinds.items():
-                    if not t or kind and not JOINED.search(t):
+                for kind, (placed, there, rare, index) in kinds.items():
+                    if not t or kind and not items.plain and not JOINED.search(t):
                         continue
                     tokens = tokens_of(t, kind)
                     ids = np.fromiter(map(items.vocab[kind].get, tokens, repeat(-1)), np.int32, len(tokens))
+                    for item, *measures in _word_for_word(ids, kind, items, index, rare):
+                        out[d, item] = [max(x) for x in zip(out.get((d, item), (0, 0, 0)), measures)]
+                    if kind and not JOINED.search(t):
+                        continue
                     step = SPAN[kind] // 2
                     spans = [ids[k : k + SPAN[kind]] for k in range(0, max(1, len(ids) - step), step)]
                     spans = [x for x in spans if (x >= 0).sum() >= LEAST_KNOWN[kind]]

@@ -129,3 +129,16 @@ def test_corpus_counts_hold_every_use(spark, monkeypatch):
     assert {e for k, e in want if k == 501} == {17}
     monkeypatch.setattr(sentences, "MAX_SENT", 0)  # by join
     assert {tuple(r) for r in sentences.sentence_ends(df).collect()} == want
+
+
+def test_passages_hold_every_leak(spark):
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefg") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(40)), "en") for k in range(4)]
+    # a short leak among other words, and items whose leaks are a third of the documents
+    docs = [(k, " ".join([*(word() for _ in range(60)), *items[k % 4][1].split()[12 : 22 + k % 3], *(word() for _ in range(60))])) for k in range(20)]
+    docs += [(100 + k, " ".join(word() for _ in range(80))) for k in range(40)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string, lang string")
+    got = {(r.doc_id, r.item_id): r for r in leaks.similar_passages(d, i).collect()}
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, i).collect()} <= set(got)
+    assert all(got[k, k % 4].run == 10 + k % 3 == got[k, k % 4].lcs and got[k, k % 4].answers == 10 + k % 3 for k in range(20))
