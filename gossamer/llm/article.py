@@ -1,10 +1,15 @@
 """Problem 6: the main body of a page, by a site style tree.
 
 The pages of one site are merged into a tree of presentation branches (``div`` with its class, table
-cell with its width, ``aside`` ...).  A branch's importance is the mean, over its letters, of its
-contents' importance: 1 for text of a single page, 0 for text that all pages with the branch hold (the
-normalised entropy of its spread over the pages).  Branches of low importance are removed from every
-page, and so are repeated contents inside the branches that stay.
+cell with its width, ``aside`` ...).  A branch has two entropies, both normalised by its pages: that of its
+styles (the sequence of elements in which its texts stand) and that of its contents (1 for text of a
+single page, 0 for text that all pages of the site hold).  Branches whose importance, the mean of both, is
+low are removed from every page, and so are repeated contents inside the branches that stay.
+
+Below a branch stand its leaf elements (``p/em``, ``h1``, ``li/a`` ...).  A leaf that each page shows about
+once, always in the same form but for names and numbers (bylines, numbers and dates of the document), is
+of low importance too.  Lines in the form of a breadcrumb path or a date, and lines that name the site
+beside another name, are leaves of their own, judged by how many pages show them.
 """
 
 from __future__ import annotations
@@ -12,39 +17,43 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import skew_join
 from ..session import written
-from . import lines
-from .garbled import Mender
-from .pages import LETTER, shown_lines
-from .spam import is_spam
+from . import lines, spam
+from .lines import FURNITURE
+from .pages import LETTER
 
-#: Importance below which a branch is removed.
-LEAST = 0.75
 #: Pages of a site that must show a branch before the site's own tree judges it; else all sites' tree does.
 MIN_PAGES = 12
-#: Pages of a site from which lines alike but for a name count as its furniture (bylines).
-LINES_ALIKE = 4
+#: Entropy of a leaf's forms below which it is always the same, and how often a page may show it.
+SAME_FORM, ONCE = 0.2, 1.5
+#: Pages that show a leaf of a special form before it may count as furniture.
+FORM_PAGES = 4
+#: Pages of a branch from which its source judges a special form by itself.
+ENOUGH = 50
+#: Longest line whose form is looked at.
+FORM_CHARS = 80
 BRANCH = re.compile(r"<(/?)(main|article|aside|footer|header|nav|section|form|div|td|th|title|script|style|noscript)\b([^>]*)>", re.I)
 ATTRIBUTE = re.compile(r"(class|id|width|colspan)\s*=\s*[\"']?([^\"'\s>]+)", re.I)
 FIRST_TEXT = re.compile(r"(?:\s|<[^>\n]*>)*")
+OPENED = re.compile(r"<([A-Za-z][\w-]*)")
 BODY = re.compile(r"<(?:body|html|!doctype|div|table|p)\b", re.I)
 SILENT = ("title", "script", "style", "noscript")
-#: Marks the rows of a site's line templates (bylines) among those of its branches.
-TEMPLATE = "line "
 #: Cells inside a content branch are its table rows, no branches.
 CELLS = ("td", "th")
 NAME = re.compile(r"(?:(?<![^\W\d_])|(?<=[぀-ヿ一-鿿：]))[A-Z][a-z]+")
+NAMES = re.compile(r"(?:\b[A-Z]\. )*N(?: (?:[A-Z]\. )*N)*")
+CODED = re.compile(r"\w*\d\w*(?:[.\-/:]\w*\d\w*)*")
 DATE = re.compile(r"^\W*(?:[^\W\d_]{1,6}\W+)?\w{1,8}\W+\d{4}\W\d\d?\W\d\d?\W*$|^\W*\d{1,4}\W\d\d?\W\d{1,4}\W*$")
+STEP = re.compile(r"\s(?:>|&gt;|»|›|/)\s")
 
 
 @lru_cache(maxsize=4096)
@@ -60,8 +69,14 @@ def _element(markup: str) -> tuple[bool, str, str]:
     return bool(m.group(1)), tag, label.strip()
 
 
-def branch_of_lines(page: str, wanted: list[bool]) -> list[str]:
-    """The branch in which the first text of each wanted line stands."""
+@lru_cache(maxsize=4096)
+def _leaf(markup: str) -> str:
+    """The elements opened before the text of a line."""
+    return "/".join(x.lower() for x in OPENED.findall(markup))
+
+
+def branches_of_lines(page: str, wanted: list[bool]) -> list[tuple[str, str]]:
+    """The branch and the leaf in which the first text of each wanted line stands."""
     at, names = [0], ["body"]
     stack: list[tuple[str, str]] = []  # tag and the path of branches down to it
     for m in BRANCH.finditer(page):
@@ -84,16 +99,18 @@ def branch_of_lines(page: str, wanted: list[bool]) -> list[str]:
         while k < last and at[k + 1] <= start:
             k += 1
         if not ask:
-            out.append("")
-        elif k == last or at[k + 1] > end:
-            out.append(names[k])  # no branch begins or ends inside the line
+            out.append(("", ""))
         else:
-            out.append(names[bisect_right(at, FIRST_TEXT.match(page, start, end).end()) - 1])
+            m = FIRST_TEXT.match(page, start, end)
+            leaf = _leaf(m.group()) if m.end() > start else ""
+            # else no branch begins or ends inside the line
+            name = names[k] if k == last or at[k + 1] > end else names[bisect_right(at, m.end()) - 1]
+            out.append((name, leaf))
         start = end + 1
     return out
 
 
-def text_branches(shown: list[str], repeated) -> list[str]:
+def text_branches(shown: list[str], counts: list[int]) -> list[tuple[str, str]]:
     """Branches of a page without markup: sections parted by two blank lines or more.
 
     A section that begins with a repeated line is a side section, unless the page's head stands above it.
@@ -114,268 +131,181 @@ def text_branches(shown: list[str], repeated) -> list[str]:
                 groups.append([])
         groups = [g for g in groups if g]
         head = False
-        while groups and all(repeated(shown[i]) or is_path(shown[i], repeated) for i in groups[0]):
+        while groups and all(counts[i] or is_path(shown[i]) for i in groups[0]):
             head = True
-            for i in groups.pop(0):
-                out[i] = "text side"
-        if groups and not head and repeated(shown[groups[0][0]]):
+            groups.pop(0)  # repeated lines go by themselves, paths are judged by the site
+        if groups and not head and counts[groups[0][0]]:
             for i in range(k, end):
                 out[i] = "text side"
         k = end
-    return out
+    return [(x, "") for x in out]
 
 
-def is_path(shown: str, repeated) -> bool:
-    """A breadcrumb path: short steps parted by ``>``."""
-    steps = [x.strip() for x in re.split(r"\s(?:>|&gt;|»|›|/)\s", shown)]
+def is_path(shown: str) -> bool:
+    """Whether a line has the form of a breadcrumb path: short steps parted by ``>``."""
+    steps = [x.strip() for x in STEP.split(shown)]
     return len(steps) > 2 and all(0 < len(x) < 40 for x in steps[:-1]) and len(steps[-1]) < 120
 
 
-def template(shown: str, names: frozenset[str]) -> str | None:
-    """A line with its names masked, if it holds one of the site's own names and another one."""
-    if len(shown) > 80:
-        return None
-    own = other = False
-
-    def mask(m: re.Match) -> str:
-        nonlocal own, other
-        if m.group() in names:
-            own = True
-            return m.group()
-        other = True
-        return "N"
-
-    got = NAME.sub(mask, shown)
-    return re.sub(r"(?:\b[A-Z]\. )*N(?: N)*", "N", got) if own and other else None
-
-
-class Site:
-    """What is known of one site: its repeated lines with their counts, and its own names."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        seen: dict[str, int] = defaultdict(int)
-        for x in counts:
-            for w in set(NAME.findall(x)):
-                seen[w] += 1
-        self.names = frozenset(w for w, n in seen.items() if n >= 3)
-
-
-def sites(rows) -> dict[int, Site]:
-    by: dict[int, dict[str, int]] = defaultdict(dict)
-    for source, line, n in rows:
-        by[source][line] = n
-    return {s: Site(c) for s, c in by.items()}
-
-
-NO_SITE = Site({})
-
-
-class Page:
-    """Lines of a page with their branches."""
-
-    def __init__(self, text: str, site: Site, mender: Mender | None):
-        self.raw = shown_lines(text)
-        fixed, hit = mender.page(text) if mender else (text, False)
-        self.shown = shown_lines(fixed) if hit else self.raw
-        counts = site.counts
-        self.count = [counts.get(a, 0) for a in self.raw]
-        if hit:
-            self.count = [n or counts.get(b, 0) for n, b in zip(self.count, self.shown)]
-        if BODY.search(text):
-            self.branch = branch_of_lines(text, [bool(x) and (mender is None or not n) for x, n in zip(self.raw, self.count)])
-        else:
-            self.branch = text_branches(self.shown, lambda x: x in counts)
-
-    def own(self) -> list[str]:
-        return [x for x, n in zip(self.shown, self.count) if x and not n]
-
-
-def _tree(sent):
-    """(source, branch, pages, letters, spread) of a partition; source -1 stands for all sites."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        sums: dict[tuple, list[float]] = {}
-        for b in batches:
-            for s, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                site = known.get(s, NO_SITE)
-                page = Page(text, site, None)
-                for t in {template(x, site.names) for x, n in zip(page.shown, page.count) if x and not n and len(x) <= 80} - {None}:
-                    sums.setdefault((s, TEMPLATE + t), [0.0, 1.0, 0.0])[0] += 1
-                here: dict[str, list[float]] = {}
-                for x, n, branch in zip(page.shown, page.count, page.branch):
-                    if not x or branch.startswith("text"):
-                        continue
-                    k = len(x)
-                    got = here.setdefault(branch, [0.0, 0.0])
-                    got[0] += k
-                    got[1] += k * math.log(max(n, 1))
-                for branch, got in here.items():
-                    for key in ((s, branch), (-1, branch)):
-                        t = sums.setdefault(key, [0.0, 0.0, 0.0])
-                        t[0] += 1
-                        t[1] += got[0]
-                        t[2] += got[1]
-        cols = list(zip(*((*k, *v) for k, v in sums.items()))) if sums else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), *[pa.float64()] * 3))], ["source", "branch", "pages", "letters", "spread"])
-
-    return run
+def form(shown: str, names: frozenset[str] = frozenset()) -> str:
+    """A line with its numbers and names masked, but for the given ones."""
+    return NAMES.sub("N", NAME.sub(lambda m: m.group() if m.group() in names else "N", CODED.sub("0", shown)))
+
+
+def special_form(shown: str, names: frozenset[str]) -> str:
+    """The form of a line that is a leaf of its own, else empty."""
+    if len(shown) <= 2 * FORM_CHARS and is_path(shown):
+        return "path"
+    if len(shown) > FORM_CHARS:
+        return ""
+    if DATE.match(shown):
+        return "date"
+    found = NAME.findall(shown)
+    own = sum(x in names for x in found)
+    return form(shown, names) if own and own < len(found) else ""
+
+
+def _hash(*parts) -> int:
+    return xxhash.xxh64_intdigest("\t".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+#: What a parse of the pages leaves.  Part 0: a line that may be of the article (``key``, ``no`` its line,
+#: ``branch``, ``node`` its leaf).  Part 1: what a task saw of a branch in one style (``pages``, ``weight`` in letters,
+#: ``spread``).  Part 2: the same of a leaf in one form (``pages``, ``n`` lines).  Part 3: ``spam.MEASURES``.
+#: Part 4: the pages of a source.
+PARSED = "part int, key bigint, no int, source int, branch string, node bigint, style bigint, pages bigint, n bigint, weight double, spread double, " + spam.MEASURES
+FIELDS = [x.split(" ")[0] for x in PARSED.split(", ")]
+TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    kinds = [TYPES[x.split(" ")[1]] for x in PARSED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(FIELDS, kinds)], FIELDS)
+
+
+def _sums(styles: dict, forms: dict, sizes: Counter) -> Iterator[pa.RecordBatch]:
+    yield _batch([{"part": 4, "source": s, "pages": n} for s, n in sizes.items()])
+    yield _batch([{"part": 1, "source": s, "branch": b, "style": y, "pages": int(v[0]), "weight": v[1], "spread": v[2]} for (s, b, y), v in styles.items()])
+    yield _batch([{"part": 2, "source": s, "branch": b, "node": node, "style": y, "no": special, "pages": v[0], "n": v[1]} for (s, b, node, special, y), v in forms.items()])
+
+
+def _parse(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """One parse of each page into the rows of ``PARSED``."""
+    styles: dict[tuple, list[float]] = {}
+    forms: dict[tuple, list[int]] = {}
+    sizes: Counter = Counter()
+    out: list[dict] = []
+    for s, text, key, raw, shown, counts, names in rows:
+        s = -2 if s is None else s
+        sizes[s] += 1
+        places = branches_of_lines(text, [bool(x) for x in raw]) if BODY.search(text) else text_branches(shown, counts)
+        here: dict[str, list] = {}
+        seen: Counter = Counter()
+        for k, (x, n, (branch, leaf)) in enumerate(zip(shown, counts, places)):
+            if not x or branch == "text side" or any(b.split(" ", 1)[0] in SILENT for b in branch.split("/")):
+                continue
+            got = here.setdefault(branch, [0.0, 0.0, []])
+            got[0] += len(x)
+            got[1] += len(x) * math.log(max(n, 1))
+            got[2].append(leaf)
+            if n:
+                continue
+            special = special_form(x, names)
+            # the site's name beside another one is told by the site, a path or date by its place
+            node = _hash(special) if special not in ("", "path", "date") else _hash(branch, leaf, special)
+            style = 0 if special else _hash(form(x)) if len(x) <= FORM_CHARS else None  # a long line is like no other
+            seen["" if special not in ("", "path", "date") else branch, node, 1 if special else 0, style] += 1
+            if LETTER.search(raw[k]):
+                out.append({"part": 0, "key": key, "no": k, "source": s, "branch": branch, "node": node})
+        for branch, (letters, spread, leaves) in here.items():
+            v = styles.setdefault((s, branch, _hash(*leaves)), [0, 0.0, 0.0])
+            v[0] += 1
+            v[1] += letters
+            v[2] += spread
+        for at, n in seen.items():
+            v = forms.setdefault((s, *at), [0, 0])
+            v[0] += 1
+            v[1] += n
+        own = spam.measures([x for x, n in zip(shown, counts) if x and not n], text)
+        out += [{"part": 3, "key": key, "no": no, **dict(zip(spam.NAMES, m))} for no, m in enumerate(own)]
+        if len(out) > 20_000:
+            yield _batch(out)
+            out = []
+        if len(styles) + len(forms) > 100_000:
+            yield from _sums(styles, forms, sizes)
+            styles, forms, sizes = {}, {}, Counter()
+    yield _batch(out)
+    yield from _sums(styles, forms, sizes)
+
+
+def _entropy(share, total):
+    """A summand of an entropy normalised by the number of cases."""
+    p = share / total
+    return -p * F.log(p) / F.log(F.greatest(total, F.lit(2)))
 
 
 def style_tree(parts: DataFrame) -> DataFrame:
-    """``source``, ``branch``, ``pages`` and ``importance`` of every presentation branch, from the
-    partitions' sums.
-
-    ``source`` -1 is the tree of all sites, for branches that a site shows too seldom.
-    """
-    total = parts.groupBy("source", "branch").agg(*[F.sum(c).alias(c) for c in ("pages", "letters", "spread")])
-    usual = F.col("letters") * F.log(F.greatest(F.col("pages"), F.lit(2.0)))
-    often = (F.col("pages") >= MIN_PAGES) | (F.col("branch").startswith(TEMPLATE) & (F.col("pages") >= LINES_ALIKE))
-    return total.filter(F.col("letters") > 0).filter(often).select("source", "branch", "pages", F.greatest(F.lit(0.0), 1 - F.col("spread") / usual).alias("importance"))
-
-
-TREE = "source int, branch string, pages double, letters double, spread double"
-#: Rows of all sites' trees that may be sent to the tasks, and pages of a site judged by one task beyond it.
-MAX_SENT_BRANCHES, CHUNK = 100_000, 5_000
-
-
-class Given:
-    """A value where a broadcast is read."""
+    """``source``, ``branch`` and ``stays`` of every presentation branch, from the tasks' sums.
 
-    def __init__(self, value):
-        self.value = value
-
-
-def _by_site(pages: DataFrame, knowledge: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` over the pages of each site with that site's row of ``knowledge``.
-
-    Sites are cut into chunks of pages, and each chunk meets one copy of the row: no task sees a whole
-    large site, nothing is collected.
+    A branch stays if it and the branches around it are important enough: by its site's tree where the
+    site shows it on ``MIN_PAGES`` pages, else by the tree of all sites, else by the branch around it.
     """
-    sizes = pages.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    cut = skew_join(pages, sizes, "source").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).drop("chunks")
-    copies = sizes.join(knowledge, "source", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    copies = copies.select(F.col("source").alias("site"), "part", *[F.col(c).alias(c) for c in knowledge.columns if c != "source"])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = list(work(left.select(["source", "page", "key"]).to_batches(), right.to_pylist()[0])) if left.num_rows else []
-        return pa.Table.from_batches(out) if out else None
+    by_style = parts.groupBy("source", "branch", "style").agg(*[F.sum(c).alias(c) for c in ("pages", "weight", "spread")])
+    by_style = written(by_style, "branch-styles")
 
-    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = run(left, right)
-        return got if got is not None else empty
+    def importance(rows: DataFrame, *by: str) -> DataFrame:
+        total = rows.groupBy(*by).agg(F.sum("pages").alias("of"), F.sum("weight").alias("weight"), F.sum("spread").alias("spread")).filter(F.col("of") >= MIN_PAGES)
+        styles = rows.groupBy(*by, "style").agg(F.sum("pages").alias("pages")).join(total.select(*by, "of"), list(by)).groupBy(*by).agg(F.sum(_entropy(F.col("pages"), F.col("of"))).alias("styles"))
+        contents = F.greatest(F.lit(0.0), 1 - F.col("spread") / (F.col("weight") * F.log(F.col("of"))))
+        return total.join(styles, list(by)).select(*by, ((contents + F.col("styles")) / 2 >= FURNITURE).alias("good"))
 
-    import pyspark.sql.pandas.types as types
-    from pyspark.sql.types import _parse_datatype_string
+    own = importance(by_style, "source", "branch").withColumnRenamed("branch", "step")
+    common = importance(by_style, "branch").withColumnsRenamed({"branch": "step", "good": "common"})
+    names = by_style.select("source", "branch").distinct()
+    steps = F.split("branch", "/")
+    asked = names.withColumn("step", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))))
+    judged = asked.join(own, ["source", "step"], "left").join(common, "step", "left").withColumn("good", F.coalesce("good", "common"))
+    return judged.groupBy("source", "branch").agg(F.coalesce(F.min("good"), F.lit(False)).alias("stays"))
 
-    empty = types.to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-    return cut.groupBy("source", "chunk").cogroup(copies.groupBy("site", "part")).applyInArrow(whole, schema)
 
+def _low_leaves(parts: DataFrame, pages: DataFrame) -> DataFrame:
+    """``source`` and ``node`` of the leaves of low importance.
 
-def _lines_of(row: dict) -> dict[int, Site]:
-    return sites((row["site"], x["line"], x["n"]) for x in row.get("lines") or ())
-
-
-def kept(branch: str, own: dict[str, tuple[float, float]], common: dict[str, tuple[float, float]]) -> bool:
-    """Whether the branch and all branches around it are important enough.
-
-    A branch is judged by its site's tree where the site shows it often, else by the tree of all sites,
-    else by the branch around it.
+    ``pages``: ``source``, ``branch`` (empty for the whole source) and its pages ``of``.  Special forms are
+    judged by their source where it shows the branch on ``ENOUGH`` pages, else by all sources.
     """
-    if branch.startswith("text"):
-        return branch == "text"
-    steps = branch.split("/")
-    if any(s.split(" ")[0] in SILENT for s in steps):
-        return False
-    good = False
-    for k in range(1, len(steps) + 1):
-        name = "/".join(steps[:k])
-        pages, importance = own.get(name, (0, 0))
-        if pages < MIN_PAGES:
-            pages, importance = common.get(name, (0, 0))
-        if pages >= MIN_PAGES:
-            good = importance >= LEAST
-            if not good:
-                return False
-    return good
-
-
-def _articles(sent, judged):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (trees, templates), mender = sent.value, judged.value, Mender()
-        common, memory = trees.get(-1, {}), {}
-        for b in batches:
-            ids, nos = [], []
-            for s, text, key in zip(*(b.column(i).to_pylist() for i in range(3))):
-                site = known.get(s, NO_SITE)
-                page = Page(text, site, mender)
-                if is_spam(page.own()):
-                    continue
-                own, repeated = trees.get(s, {}), templates.get(s, ())
-                for k, (x, n, branch) in enumerate(zip(page.shown, page.count, page.branch)):
-                    if n or not x:
-                        continue
-                    stays = memory.get((s, branch))
-                    if stays is None:
-                        stays = memory[s, branch] = kept(branch, own, common)
-                    if stays and LETTER.search(page.raw[k]) and not DATE.match(x) and not is_path(x, None) and (not repeated or template(x, site.names) not in repeated):
-                        ids.append(key)
-                        nos.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], ["key", "line_no"])
-
-    return run
+    forms = parts.groupBy("source", "branch", "node", "no", "style").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"))
+    by = ["source", "branch", "node", "no"]
+    total = forms.groupBy(*by).agg(F.sum("n").alias("all"), F.sum("pages").alias("on"))
+    # a line without a form is one of its own
+    part = F.when(F.col("style").isNull(), F.col("n") * _entropy(F.lit(1), F.col("all"))).otherwise(_entropy(F.col("n"), F.col("all")))
+    plain = forms.filter("no = 0 AND branch <> 'text'").join(total.filter((F.col("on") >= MIN_PAGES) & (F.col("all") <= ONCE * F.col("on"))), by)
+    same = plain.groupBy("source", "node").agg(F.sum(part).alias("mixed")).filter(F.col("mixed") < SAME_FORM).select("source", "node")
+    special = total.filter("no = 1").select("source", "branch", "node", "on").join(pages, ["source", "branch"])
+    often = (F.col("on") >= FORM_PAGES) & (F.log("on") > (1 - FURNITURE) * F.log("of"))
+    everywhere = special.groupBy("node").agg(F.sum("on").alias("on"), F.sum("of").alias("of")).select("node", often.alias("common"))
+    few = (F.col("of") < ENOUGH) & (F.col("branch") != "")
+    low = special.join(everywhere, "node").filter(F.when(few, F.col("common")).otherwise(often)).select("source", "node")
+    return same.unionByName(low).distinct()
 
 
 def article_lines(df: DataFrame, source: str = "queue_id", page: str = "page", key: str = "request_id") -> DataFrame:
     """``key`` and ``line_no`` of every line of a page's own article.
 
-    The branches and repeated contents of each source are learned from all its pages.  Pages without
-    markup are read as sections parted by blank lines.  Spam pages (``spam.is_spam``) have no article;
-    null and empty pages have no lines; pages of a null source are judged by the tree of all sources; a
-    key delivered twice comes once; an empty table gives no row; other columns are not read.
+    The branches and repeated contents of each source are learned from all its pages, from one parse of
+    each.  Pages without markup are read as sections parted by blank lines.  Spam pages (``spam.judged``)
+    have no article; null and empty pages have no lines; pages of a null source are judged by the tree of
+    all sources; a key delivered twice comes once; an empty table gives no row; other columns are not read.
     """
-    spark = df.sparkSession
-    pages = df.select(F.coalesce(F.col(source).cast("int"), F.lit(-2)).alias("source"), F.col(page).alias("page"), F.col(key).cast("bigint").alias("key")).filter("page IS NOT NULL")
-    counted = lines.repeated_lines(pages, "source", "page", "key")
-    rows = counted.limit(lines.MAX_SENT_LINES + 1).collect()
-    if len(rows) <= lines.MAX_SENT_LINES:
-        sent = spark.sparkContext.broadcast(sites(rows))
-        tree = style_tree(pages.select("source", "page").mapInArrow(_tree(sent), TREE))
-        judged = tree.limit(MAX_SENT_BRANCHES + 1).collect()
-        if len(judged) <= MAX_SENT_BRANCHES:
-            found = pages.mapInArrow(_articles(sent, spark.sparkContext.broadcast(_trees(judged))), "key bigint, line_no int")
-            return found.distinct().select(F.col("key").alias(key), "line_no")
-    # too many sites to be sent: each chunk of a site's pages meets its own site's lines and branches
-    known = counted.groupBy("source").agg(F.collect_list(F.struct("line", "n")).alias("lines"))
-    known = written(known, "site-lines")
-    tree = written(style_tree(_by_site(pages, known, lambda batches, row: _tree(Given(_lines_of(row)))(batches), TREE)), "site-trees")
-    common = tree.filter("source = -1").orderBy(F.desc("pages"), "branch").limit(MAX_SENT_BRANCHES).collect()
-    both = tree.groupBy("source").agg(F.collect_list(F.struct("source", "branch", "pages", "importance")).alias("branches"))
-
-    def judge(batches, row):
-        own = [Branch(**b) for b in row.get("branches") or ()]
-        return _articles(Given(_lines_of(row)), Given(_trees([*shared, *own])))(batches)
-
-    shared = [Branch(*r) for r in common]
-    found = _by_site(pages, known.join(both, "source", "full_outer"), judge, "key bigint, line_no int")
-    return found.distinct().select(F.col("key").alias(key), "line_no")
-
-
-class Branch(NamedTuple):
-    source: int
-    branch: str
-    pages: float
-    importance: float
-
-
-def _trees(rows) -> tuple[dict, dict]:
-    """Branches and line templates by source."""
-    trees: dict[int, dict] = defaultdict(dict)
-    templates: dict[int, set] = defaultdict(set)
-    for source, branch, pages, importance in rows:
-        if branch.startswith(TEMPLATE):
-            templates[source].add(branch[len(TEMPLATE) :])
-        else:
-            trees[source][branch] = (pages, importance)
-    return dict(trees), dict(templates)
+    found = lines.with_repeated_lines(df, source, page, key, _parse, PARSED, FURNITURE, True, True, NAME)
+    parsed = written(found, "parsed-pages", "part")
+    tree = parsed.filter("part = 1")
+    leaves = parsed.filter("part = 2")
+    sizes = parsed.filter("part = 4").groupBy("source").agg(F.sum("pages").alias("of")).withColumn("branch", F.lit(""))
+    pages = tree.groupBy("source", "branch").agg(F.sum("pages").alias("of")).unionByName(sizes)
+    stays = style_tree(tree.select("source", "branch", "style", "pages", "weight", "spread"))
+    stays = stays.filter((F.col("stays") & (F.col("branch") != "text side")) | (F.col("branch") == "text")).select("source", "branch")
+    kept = parsed.filter("part = 0").select("key", "no", "source", "branch", "node")
+    kept = kept.join(stays, ["source", "branch"], "left_semi").join(_low_leaves(leaves, pages), ["source", "node"], "left_anti")
+    bad = spam.judged(parsed.filter("part = 3").select("key", "no", *spam.NAMES))
+    return kept.select("key", "no").distinct().join(bad, "key", "left_anti").select(F.col("key").alias(key), F.col("no").alias("line_no"))

@@ -1,37 +1,54 @@
 """Problem 7: keyword-stuffed and link-list pages.
 
 A page's own lines (those its site doesn't repeat) form blocks.  A block's compression ratio, with names
-and numbers masked, is set against the ratio that ordinary text of its length and script has; extreme
-redundancy counts as spam where the block also lacks sentences, or where it is more extreme still.
+and numbers masked, is set against the ratio that ordinary text of its length, script and language has in
+the corpus; extreme redundancy counts as spam where the block also lacks sentences, or where it is more
+extreme still.  No block is spam without the compression test.
+
+Pages are read once: each block leaves a narrow row of measures, the corpus's ordinary ratios are learned
+from these rows, and the judgement is a plan over them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import lines
-from .garbled import Mender
-from .pages import shown_lines
 
-#: Ratio of ordinary text: START at SIZE units, falling by SLOPE for each e-fold of length (measured).
+#: Ratio of ordinary text where the corpus has too few blocks to tell: START at SIZE characters, falling by
+#: SLOPE for each e-fold of length up to PIECE.
 START, SLOPE, SIZE = 0.60, 0.088, 450
-#: Share of the ordinary ratio below which a block is redundant, and extremely so.
-REDUNDANT, EXTREME = 0.82, 0.52
+#: Blocks with sentences, of one script, language and length, from which their median ratio is the ordinary one.
+LEARNED_FROM = 100
+#: Share of the ordinary ratio below which a block is redundant, and extremely so; the same for a block
+#: full of the marks that part tags and links, whose invented words vary more.
+REDUNDANT, EXTREME, REDUNDANT_TAGS = 0.82, 0.535, 1.25
+#: Marks for each 100 characters that make a block full of them.
+TAGS = 2.0
 #: Sentence ends for each 100 characters below which a block has no sentences.
 SENTENCES = 0.34
 #: Letters (names aside) a page's spam must hold, and its share of the page's own letters.
 MIN_LETTERS, MIN_SHARE = 120, 0.5
-
-#: Units a block without sentences must hold before plain redundancy counts: short lists are ordinary.
-LIST_SIZE = 400
+#: Characters of a block without sentences and the share of the ordinary ratio below which it counts:
+#: short lists are ordinary, so a short one must be the more redundant.
+SHORT = ((230, 0.56), (300, 0.64), (400, REDUNDANT))
+#: Characters a block with sentences must hold to count.
+LEAST_SIZE = 250
+#: Characters of a block at most; longer ones are cut, since a compressor's window makes ratios of very
+#: different lengths incomparable.
+PIECE = 6000
 
 ENTITY = re.compile(r"&#?\w+;")
 NUMBER = re.compile(r"\d+")
@@ -39,9 +56,17 @@ NAME = re.compile(r"(?=[A-Z])(?:(?<![^\W\d_])|(?<=[぀-ヿ一-鿿]))[A-Z][a-z]+"
 #: File names, addresses and options are no prose either way.
 CODE = re.compile(r"(?<!\S)(?:--\w+|[^\s<>]*\w[./=]\w[^\s<>]*)")
 WORDS = re.compile(r"[^\W\d_]+")
-WIDE = re.compile(r"[぀-ヿ一-鿿]")
-END = re.compile(r"[.!?…](?<!\d[.!?…])[)”\"»“]*(?=\s|$)|[。！？]")
+#: Letters that say as much as three of an alphabet.
+WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]")
+#: Scripts that write no sentence mark part sentences by blanks: a long run before one counts as an end.
+END = re.compile(r"[.!?…؟۔](?<!\d[.!?…])[)”\"»“]*(?=\s|$)")
+END_WIDE = re.compile(r"[。！？｡।॥։።፧။។៕]")
+END_RUN = re.compile(r"[฀-໿က-႟ក-៿]{18}(?=\s|$)")
 LOOSE = re.compile(r"[#\[\];|*•·]|(?:^|\s)-\s")
+LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+ASCII_LETTER = re.compile(r"[A-Za-z]")
+HANGUL = re.compile(r"[가-힣]")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
 def masked(text: str, known: frozenset[str] = frozenset()) -> str:
@@ -61,14 +86,52 @@ def repeated_words(own: list[str]) -> frozenset[str]:
 
 
 def wide(text: str) -> int:
-    """Letters of scripts without blanks."""
+    """Letters that count as three."""
     return 0 if text.isascii() else len(WIDE.findall(text))
 
 
-def ratio(text: str) -> tuple[float, int]:
-    """Compressed share of a masked text, in units of one byte a letter (two for wide scripts)."""
-    raw = text.encode("utf-16-le" if wide(text) > len(text) / 4 else "koi8_r", "replace")
-    return (len(zlib.compress(raw, 6)) - 8) / max(len(raw), 1), len(raw)
+@lru_cache(maxsize=65536)
+def _script_of(c: str) -> str:
+    """The script of a letter or of its signs by its Unicode name; empty for other characters."""
+    if not unicodedata.category(c)[0] in "LM":
+        return ""
+    name = unicodedata.name(c, "").split(" ")[0]
+    return "CJK" if name in ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HALFWIDTH", "FULLWIDTH") else name
+
+
+def script(text: str) -> str:
+    """The script most letters of the text are of."""
+    if text.isascii():
+        return "LATIN"
+    count: Counter = Counter()
+    for c, n in Counter("".join(BEYOND_ASCII.findall(text))).items():
+        s = _script_of(c)
+        if s:
+            count[s] += n
+    count["LATIN"] += len(ASCII_LETTER.findall(text))
+    return max(sorted(count), key=count.__getitem__)
+
+
+def units(text: str) -> bytes:
+    """The text with one byte a letter, whatever its script; two where it needs more than 128 letters
+    beyond ASCII (Han and such).  Different letters never share a byte."""
+    if text.isascii():
+        return text.encode()
+    if HANGUL.search(text):
+        text = unicodedata.normalize("NFD", text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    own, at = np.unique(codes, return_inverse=True)
+    plain = int(np.searchsorted(own, 128))
+    if len(own) - plain > 128 or len(WIDE.findall(text)) > len(text) / 4:
+        return text.encode("utf-16-le", "surrogatepass")
+    byte = np.concatenate([own[:plain], 128 + np.arange(len(own) - plain)]).astype(np.uint8)
+    return byte[at].tobytes()
+
+
+def ratio(text: str) -> float:
+    """Compressed share of a masked text."""
+    raw = units(text)
+    return (len(zlib.compress(raw, 6)) - 8) / max(len(raw), 1)
 
 
 def letters(text: str) -> int:
@@ -78,27 +141,17 @@ def letters(text: str) -> int:
 
 def density(text: str) -> float:
     """Sentence ends for each 100 characters; a wide letter counts as three."""
-    return 100 * len(END.findall(text)) / max(len(text) + 2 * wide(text), 1)
-
-
-def block_score(text: str, known: frozenset[str] = frozenset()) -> tuple[bool, int]:
-    """Whether a block is spam, and its letters."""
-    m = masked(text, known)
-    n = letters(m)
-    if n < 40:
-        return False, n
-    got, size = ratio(m)
-    share = got / (START - SLOPE * math.log(max(size, 100) / SIZE))
-    if density(text) >= SENTENCES:
-        return share < EXTREME and size >= 150, n
-    if size < LIST_SIZE:
-        return share < 0.62 and size >= 250, n
-    loose = 100 * len(LOOSE.findall(text)) / max(len(text), 1)
-    return share < REDUNDANT or loose > 2, n
+    if text.isascii():
+        return 100 * len(END.findall(text)) / max(len(text), 1)
+    ends = len(END.findall(text)) + len(END_WIDE.findall(text)) + len(END_RUN.findall(text))
+    return 100 * ends / max(len(text) + 2 * wide(text), 1)
 
 
 def blocks(own: list[str]) -> list[str]:
-    """Consecutive lines without sentences make one block, and so do consecutive lines with them."""
+    """Consecutive lines without sentences make one block, and so do consecutive lines with them.
+
+    A block longer than ``PIECE`` is cut into even pieces; nothing of it is left out.
+    """
     out: list[list[str]] = []
     kind = None
     for s in own:
@@ -107,20 +160,95 @@ def blocks(own: list[str]) -> list[str]:
             out.append([])
             kind = now
         out[-1].append(s)
-    return ["\n".join(x) for x in out]
+    pieces = []
+    for x in map("\n".join, out):
+        step = -(-len(x) // -(-len(x) // PIECE)) if x else 1
+        pieces += [x[k : k + step] for k in range(0, len(x), step)]
+    return pieces
+
+
+#: What is measured of a block: script and declared language, characters, compressed share, sentence ends and
+#: loose marks for each 100 characters, letters.
+MEASURES = "script string, lang string, size int, got double, density double, loose double, letters int"
+NAMES = [x.split(" ")[0] for x in MEASURES.split(", ")]
+
+
+def measures(own: list[str], page: str = "") -> list[tuple]:
+    """``MEASURES`` of the blocks of a page's own lines; ``page`` may declare its language."""
+    if not own:
+        return []
+    declared = LANG.search(page)
+    lang = declared.group(1).lower() if declared else ""
+    known, out = repeated_words(own), []
+    for b in blocks(own):
+        m = masked(b, known)
+        n = letters(m)
+        out.append((script(m), lang, len(m), ratio(m) if n >= 40 else 1.0, density(b), 100 * len(LOOSE.findall(b)) / max(len(b), 1), n))
+    return out
+
+
+def _default(size):
+    """The ordinary ratio without knowledge of the corpus; level beyond ``PIECE``."""
+    return START - SLOPE * math.log(min(max(size, 100), PIECE) / SIZE)
+
 
+def is_redundant(size: int, got: float, ends: float, loose: float, ordinary: float) -> bool:
+    """Whether a block is spam: its share of the ordinary ratio, confirmed by its lack of sentences."""
+    share = got / ordinary
+    if ends >= SENTENCES:
+        return share < EXTREME and size >= LEAST_SIZE
+    if loose > TAGS and size >= SHORT[-1][0]:
+        return share < REDUNDANT_TAGS
+    return any(size >= least and share < below for least, below in SHORT)
 
-def is_spam(own: list[str]) -> bool:
-    """The judgement over the own lines of a page."""
-    known = repeated_words(own)
+
+def is_spam(own: list[str], page: str = "") -> bool:
+    """The judgement over the own lines of one page, against the default ratios."""
     bad = total = 0
-    for b in blocks(own):
-        hit, n = block_score(b, known)
+    for _, _, size, got, ends, loose, n in measures(own, page):
         total += n
-        bad += n if hit else 0
+        bad += n if n >= 40 and is_redundant(size, got, ends, loose, _default(size)) else 0
     return bad >= MIN_LETTERS and bad >= MIN_SHARE * total
 
 
+def _is_redundant(ordinary: Column) -> Column:
+    """``is_redundant`` as a column."""
+    share = F.col("got") / ordinary
+    listed = (F.col("loose") > TAGS) & (F.col("size") >= SHORT[-1][0]) & (share < REDUNDANT_TAGS)
+    for least, below in SHORT:
+        listed = listed | ((F.col("size") >= least) & (share < below))
+    return F.when(F.col("letters") < 40, False).when(F.col("density") >= SENTENCES, (share < EXTREME) & (F.col("size") >= LEAST_SIZE)).otherwise(listed)
+
+
+def judged(blocks: DataFrame) -> DataFrame:
+    """``key`` of the spam pages by the measures of all blocks (``key``, ``no`` and ``MEASURES``).
+
+    The ordinary ratio of a block is the median over the corpus's blocks with sentences of its script,
+    declared language and length (half powers of two); where there are fewer than ``LEARNED_FROM``, that
+    of its script and length; else a fixed curve.  The tables of medians hold a row for each script,
+    language code and length.
+    """
+    rows = blocks.withColumn("bucket", F.floor(2 * F.log2(F.greatest("size", F.lit(1)))).cast("int"))
+    usual = rows.filter((F.col("density") >= SENTENCES) & (F.col("letters") >= 40))
+    med = [F.percentile_approx("got", 0.5, 1000).alias("m"), F.count(F.lit(1)).alias("c")]
+    own = usual.groupBy("script", "lang", "bucket").agg(*med).filter(F.col("c") >= LEARNED_FROM).select("script", "lang", "bucket", F.col("m").alias("of_lang"))
+    all_ = usual.groupBy("script", "bucket").agg(*med).filter(F.col("c") >= LEARNED_FROM).select("script", "bucket", F.col("m").alias("of_script"))
+    known = rows.join(own, ["script", "lang", "bucket"], "left").join(all_, ["script", "bucket"], "left")
+    default = F.lit(START) - SLOPE * F.log(F.least(F.greatest("size", F.lit(100)), F.lit(PIECE)) / SIZE)
+    hit = known.withColumn("bad", F.when(_is_redundant(F.coalesce("of_lang", "of_script", default)), F.col("letters")).otherwise(0))
+    # a page delivered twice has the same blocks twice
+    once = hit.groupBy("key", "no").agg(F.max("bad").alias("bad"), F.max("letters").alias("letters"))
+    pages = once.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("letters").alias("letters"))
+    return pages.filter((F.col("bad") >= MIN_LETTERS) & (F.col("bad") >= MIN_SHARE * F.col("letters"))).select("key")
+
+
+def measured_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """(key, no, *measures) rows."""
+    cols = list(zip(*rows)) if rows else [[]] * 9
+    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", "no", *NAMES])
+
+
 def spam_pages(df: DataFrame, source: str = "queue_id", page: str = "page", key: str = "request_id") -> DataFrame:
     """``key`` of every page whose own text is mostly keywords, lists of links or product tags.
 
@@ -128,19 +256,16 @@ def spam_pages(df: DataFrame, source: str = "queue_id", page: str = "page", key:
     Null and empty pages and pages without a source's own lines are no case; a key delivered twice comes
     once; an empty table gives no row; other columns are not read.
     """
-    sent, repeated = lines.confirmed(df, source, page, key)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, mender = sent.value if sent is not None else frozenset(), Mender()
-        for b in batches:
-            out = []
-            for s, text, k in zip(*(b.column(i).to_pylist() for i in range(3))):
-                now = shown_lines(mender.page(text)[0])
-                if is_spam([x for x, raw in zip(now, shown_lines(text)) if x and (s, raw) not in bad]):
-                    out.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], [key])
-
-    if sent is None:  # too many repeated lines to be sent: take them out by joins first
-        df = lines.without_repeated_lines(df, source, page, key).withColumn(source, F.lit(0))
-    rows = df.select(F.col(source).cast("int"), F.col(page), F.col(key).cast("bigint")).filter(F.col(page).isNotNull())
-    return rows.mapInArrow(judge, f"`{key}` bigint").distinct()
+
+    def measure(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, text, k, _, now, counts, _ in rows:
+            own = measures([x for x, n in zip(now, counts) if x and not n], text)
+            out += [(k, no, *m) for no, m in enumerate(own)]
+            if len(out) > 10_000:
+                yield measured_batch(out)
+                out = []
+        yield measured_batch(out)
+
+    found = lines.with_repeated_lines(df, source, page, key, measure, f"key bigint, no int, {MEASURES}", lines.FURNITURE, True, True)
+    return judged(written(found, "blocks")).select(F.col("key").alias(key))
