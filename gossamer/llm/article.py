@@ -3,8 +3,10 @@
 The pages of one site are merged into a tree of presentation branches (``div`` with its class, table
 cell with its width, ``aside`` ...).  A branch has two entropies, both normalised by its pages: that of its
 styles (the sequence of elements in which its texts stand) and that of its contents (1 for text of a
-single page, 0 for text that all pages of the site hold).  Branches whose importance, the mean of both, is
-low are removed from every page, and so are repeated contents inside the branches that stay.
+single page, 0 for text that all pages of the site hold).  Branches whose importance is low are removed
+from every page, and so are repeated contents inside the branches that stay.  The importance is that of the
+contents where these are clearly the page's own (all articles of a site may be built alike), else the mean
+of both.
 
 Below a branch stand its leaf elements (``p/em``, ``h1``, ``li/a`` ...).  A leaf that each page shows about
 once, always in the same form but for names and numbers (bylines, numbers and dates of the document), is
@@ -33,6 +35,8 @@ from .pages import LETTER
 
 #: Pages of a site that must show a branch before the site's own tree judges it; else all sites' tree does.
 MIN_PAGES = 12
+#: Importance of contents that are clearly the page's own.
+CLEAR = 0.9
 #: Entropy of a leaf's forms below which it is always the same, and how often a page may show it.
 SAME_FORM, ONCE = 0.2, 1.5
 #: Pages that show a leaf of a special form before it may count as furniture.
@@ -165,6 +169,12 @@ def special_form(shown: str, names: frozenset[str]) -> str:
     return form(shown, names) if own and own < len(found) else ""
 
 
+@lru_cache(maxsize=4096)
+def _silent(branch: str) -> bool:
+    return branch == "text side" or any(b.split(" ", 1)[0] in SILENT for b in branch.split("/"))
+
+
+@lru_cache(maxsize=65536)
 def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\t".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -178,15 +188,24 @@ FIELDS = [x.split(" ")[0] for x in PARSED.split(", ")]
 TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [TYPES[x.split(" ")[1]] for x in PARSED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(FIELDS, kinds)], FIELDS)
+KINDS = [TYPES[x.split(" ")[1]] for x in PARSED.split(", ")]
+
+
+def _batch(part: int, names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of one part; the columns it hasn't are null."""
+    own = dict(zip(names, zip(*rows))) if rows else {}
+    cols = [pa.array(own[c], t) if c in own else pa.nulls(len(rows), t) for c, t in zip(FIELDS, KINDS)]
+    cols[0] = pa.array([part] * len(rows), pa.int32())
+    return pa.RecordBatch.from_arrays(cols, FIELDS)
 
 
 def _sums(styles: dict, forms: dict, sizes: Counter) -> Iterator[pa.RecordBatch]:
-    yield _batch([{"part": 4, "source": s, "pages": n} for s, n in sizes.items()])
-    yield _batch([{"part": 1, "source": s, "branch": b, "style": y, "pages": int(v[0]), "weight": v[1], "spread": v[2]} for (s, b, y), v in styles.items()])
-    yield _batch([{"part": 2, "source": s, "branch": b, "node": node, "style": y, "no": special, "pages": v[0], "n": v[1]} for (s, b, node, special, y), v in forms.items()])
+    yield _batch(1, ("source", "branch", "style", "pages", "weight", "spread"), [(*k, *v) for k, v in styles.items()])
+    yield _batch(2, ("source", "branch", "node", "no", "style", "pages", "n"), [(*k, *v) for k, v in forms.items()])
+    yield _batch(4, ("source", "pages"), list(sizes.items()))
+
+
+LINE, BLOCK = ("key", "no", "source", "branch", "node"), ("key", "no", *spam.NAMES)
 
 
 def _parse(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +213,8 @@ def _parse(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     styles: dict[tuple, list[float]] = {}
     forms: dict[tuple, list[int]] = {}
     sizes: Counter = Counter()
-    out: list[dict] = []
+    out: list[tuple] = []
+    blocks: list[tuple] = []
     for s, text, key, raw, shown, counts, names in rows:
         s = -2 if s is None else s
         sizes[s] += 1
@@ -202,7 +222,7 @@ def _parse(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         here: dict[str, list] = {}
         seen: Counter = Counter()
         for k, (x, n, (branch, leaf)) in enumerate(zip(shown, counts, places)):
-            if not x or branch == "text side" or any(b.split(" ", 1)[0] in SILENT for b in branch.split("/")):
+            if not x or _silent(branch):
                 continue
             got = here.setdefault(branch, [0.0, 0.0, []])
             got[0] += len(x)
@@ -216,7 +236,7 @@ def _parse(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             style = 0 if special else _hash(form(x)) if len(x) <= FORM_CHARS else None  # a long line is like no other
             seen["" if special not in ("", "path", "date") else branch, node, 1 if special else 0, style] += 1
             if LETTER.search(raw[k]):
-                out.append({"part": 0, "key": key, "no": k, "source": s, "branch": branch, "node": node})
+                out.append((key, k, s, branch, node))
         for branch, (letters, spread, leaves) in here.items():
             v = styles.setdefault((s, branch, _hash(*leaves)), [0, 0.0, 0.0])
             v[0] += 1
@@ -227,14 +247,16 @@ def _parse(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             v[0] += 1
             v[1] += n
         own = spam.measures([x for x, n in zip(shown, counts) if x and not n], text)
-        out += [{"part": 3, "key": key, "no": no, **dict(zip(spam.NAMES, m))} for no, m in enumerate(own)]
+        blocks += [(key, no, *m) for no, m in enumerate(own)]
         if len(out) > 20_000:
-            yield _batch(out)
-            out = []
+            yield _batch(0, LINE, out)
+            yield _batch(3, BLOCK, blocks)
+            out, blocks = [], []
         if len(styles) + len(forms) > 100_000:
             yield from _sums(styles, forms, sizes)
             styles, forms, sizes = {}, {}, Counter()
-    yield _batch(out)
+    yield _batch(0, LINE, out)
+    yield _batch(3, BLOCK, blocks)
     yield from _sums(styles, forms, sizes)
 
 
@@ -257,7 +279,7 @@ def style_tree(parts: DataFrame) -> DataFrame:
         total = rows.groupBy(*by).agg(F.sum("pages").alias("of"), F.sum("weight").alias("weight"), F.sum("spread").alias("spread")).filter(F.col("of") >= MIN_PAGES)
         styles = rows.groupBy(*by, "style").agg(F.sum("pages").alias("pages")).join(total.select(*by, "of"), list(by)).groupBy(*by).agg(F.sum(_entropy(F.col("pages"), F.col("of"))).alias("styles"))
         contents = F.greatest(F.lit(0.0), 1 - F.col("spread") / (F.col("weight") * F.log(F.col("of"))))
-        return total.join(styles, list(by)).select(*by, ((contents + F.col("styles")) / 2 >= FURNITURE).alias("good"))
+        return total.join(styles, list(by)).select(*by, ((contents >= CLEAR) | ((contents + F.col("styles")) / 2 >= FURNITURE)).alias("good"))
 
     own = importance(by_style, "source", "branch").withColumnRenamed("branch", "step")
     common = importance(by_style, "branch").withColumnsRenamed({"branch": "step", "good": "common"})

@@ -55,18 +55,18 @@ NUMBER = re.compile(r"\d+")
 NAME = re.compile(r"(?=[A-Z])(?:(?<![^\W\d_])|(?<=[぀-ヿ一-鿿]))[A-Z][a-z]+")
 #: File names, addresses and options are no prose either way.
 CODE = re.compile(r"(?<!\S)(?:--\w+|[^\s<>]*\w[./=]\w[^\s<>]*)")
-WORDS = re.compile(r"[^\W\d_]+")
 #: Letters that say as much as three of an alphabet.
 WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]")
 #: Scripts that write no sentence mark part sentences by blanks: a long run before one counts as an end.
 END = re.compile(r"[.!?…؟۔](?<!\d[.!?…])[)”\"»“]*(?=\s|$)")
 END_WIDE = re.compile(r"[。！？｡।॥։።፧။។៕]")
 END_RUN = re.compile(r"[฀-໿က-႟ក-៿]{18}(?=\s|$)")
-LOOSE = re.compile(r"[#\[\];|*•·]|(?:^|\s)-\s")
+LOOSE = "#[];|*•·"
+DASH = re.compile(r"(?<!\S)-(?=\s)")
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
-ASCII_LETTER = re.compile(r"[A-Za-z]")
+#: All bytes but letters and the mask of names.
+NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127 or b == ord("N"))
 HANGUL = re.compile(r"[가-힣]")
-BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
 def masked(text: str, known: frozenset[str] = frozenset()) -> str:
@@ -85,31 +85,34 @@ def repeated_words(own: list[str]) -> frozenset[str]:
     return frozenset(w for w, n in count.items() if n > 2)
 
 
-def wide(text: str) -> int:
-    """Letters that count as three."""
-    return 0 if text.isascii() else len(WIDE.findall(text))
+@lru_cache(maxsize=1)
+def _scripts() -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The script's number of each code point up to U+FFFF (0: no letter and no sign of one), the scripts'
+    names, and which code points are letters."""
+    of, names, letter = np.zeros(65536, np.uint8), ["", "LATIN"], np.zeros(65536, bool)
+    number = {"LATIN": 1}
+    for k in range(65536):
+        c = chr(k)
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
+            name = re.split("[ -]", unicodedata.name(c, ""), maxsplit=1)[0]
+            name = "CJK" if name in ("HIRAGANA", "KATAKANA", "HALFWIDTH", "FULLWIDTH") else name
+            at = number.setdefault(name, min(len(number) + 1, 255))
+            if at == len(names):
+                names.append(name)
+            of[k] = at
+            letter[k] = kind == "L"
+    return of, names, letter
 
 
-@lru_cache(maxsize=65536)
-def _script_of(c: str) -> str:
-    """The script of a letter or of its signs by its Unicode name; empty for other characters."""
-    if not unicodedata.category(c)[0] in "LM":
-        return ""
-    name = unicodedata.name(c, "").split(" ")[0]
-    return "CJK" if name in ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HALFWIDTH", "FULLWIDTH") else name
+def _codes(text: str) -> np.ndarray:
+    """The text's code points; those beyond U+FFFF as the pairs of UTF-16."""
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
 
 
-def script(text: str) -> str:
-    """The script most letters of the text are of."""
-    if text.isascii():
-        return "LATIN"
-    count: Counter = Counter()
-    for c, n in Counter("".join(BEYOND_ASCII.findall(text))).items():
-        s = _script_of(c)
-        if s:
-            count[s] += n
-    count["LATIN"] += len(ASCII_LETTER.findall(text))
-    return max(sorted(count), key=count.__getitem__)
+def wide(text: str) -> int:
+    """Letters that count as three."""
+    return 0 if text.isascii() else len(WIDE.findall(text))
 
 
 def units(text: str) -> bytes:
@@ -119,13 +122,17 @@ def units(text: str) -> bytes:
         return text.encode()
     if HANGUL.search(text):
         text = unicodedata.normalize("NFD", text)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    own, at = np.unique(codes, return_inverse=True)
+    codes = _codes(text)
+    there = np.zeros(65536, bool)
+    there[codes] = True
+    own = np.flatnonzero(there)
     plain = int(np.searchsorted(own, 128))
-    if len(own) - plain > 128 or len(WIDE.findall(text)) > len(text) / 4:
-        return text.encode("utf-16-le", "surrogatepass")
-    byte = np.concatenate([own[:plain], 128 + np.arange(len(own) - plain)]).astype(np.uint8)
-    return byte[at].tobytes()
+    if len(own) - plain > 128 or wide(text) > len(text) / 4:
+        return codes.tobytes()
+    byte = np.zeros(65536, np.uint8)
+    byte[own[:plain]] = own[:plain]
+    byte[own[plain:]] = 128 + np.arange(len(own) - plain)
+    return byte[codes].tobytes()
 
 
 def ratio(text: str) -> float:
@@ -134,36 +141,50 @@ def ratio(text: str) -> float:
     return (len(zlib.compress(raw, 6)) - 8) / max(len(raw), 1)
 
 
-def letters(text: str) -> int:
-    """Letters of words that aren't names; a wide letter counts as three."""
-    return sum(map(len, WORDS.findall(text.replace("N", "")))) + 2 * wide(text)
+def script_and_letters(text: str) -> tuple[str, int]:
+    """The script most letters of a masked text are of, and its letters but for masked names; a wide letter
+    counts as three."""
+    if text.isascii():
+        return "LATIN", len(text.encode().translate(None, NO_LETTERS))
+    codes = _codes(text)
+    of, names, letter = _scripts()
+    count = np.bincount(of[codes], minlength=2)
+    count[0] = 0
+    return names[int(count.argmax())] or "LATIN", int(letter[codes].sum()) - text.count("N") + 2 * wide(text)
 
 
-def density(text: str) -> float:
-    """Sentence ends for each 100 characters; a wide letter counts as three."""
-    if text.isascii():
-        return 100 * len(END.findall(text)) / max(len(text), 1)
-    ends = len(END.findall(text)) + len(END_WIDE.findall(text)) + len(END_RUN.findall(text))
-    return 100 * ends / max(len(text) + 2 * wide(text), 1)
+def ends(text: str) -> int:
+    """Sentence ends."""
+    n = len(END.findall(text))
+    return n if text.isascii() else n + len(END_WIDE.findall(text)) + len(END_RUN.findall(text))
 
 
-def blocks(own: list[str]) -> list[str]:
-    """Consecutive lines without sentences make one block, and so do consecutive lines with them.
+def blocks(own: list[str]) -> list[tuple[str, float]]:
+    """Consecutive lines without sentences make one block, and so do consecutive lines with them; each with
+    its sentence ends for 100 characters (a wide letter counts as three).
 
     A block longer than ``PIECE`` is cut into even pieces; nothing of it is left out.
     """
-    out: list[list[str]] = []
+    out: list[list] = []
     kind = None
     for s in own:
-        now = density(s) >= SENTENCES
+        n, size = ends(s), len(s) + 2 * wide(s)
+        now = 100 * n >= SENTENCES * size
         if now != kind:
-            out.append([])
+            out.append([[], 0, 0])
             kind = now
-        out[-1].append(s)
+        last = out[-1]
+        last[0].append(s)
+        last[1] += n
+        last[2] += size + 1
     pieces = []
-    for x in map("\n".join, out):
+    for texts, n, size in out:
+        x = "\n".join(texts)
         step = -(-len(x) // -(-len(x) // PIECE)) if x else 1
-        pieces += [x[k : k + step] for k in range(0, len(x), step)]
+        if len(x) <= step:
+            pieces.append((x, 100 * n / max(size - 1, 1)))
+        else:
+            pieces += [(y, 100 * ends(y) / max(len(y) + 2 * wide(y), 1)) for y in (x[k : k + step] for k in range(0, len(x), step))]
     return pieces
 
 
@@ -180,10 +201,11 @@ def measures(own: list[str], page: str = "") -> list[tuple]:
     declared = LANG.search(page)
     lang = declared.group(1).lower() if declared else ""
     known, out = repeated_words(own), []
-    for b in blocks(own):
+    for b, dense in blocks(own):
         m = masked(b, known)
-        n = letters(m)
-        out.append((script(m), lang, len(m), ratio(m) if n >= 40 else 1.0, density(b), 100 * len(LOOSE.findall(b)) / max(len(b), 1), n))
+        kind, n = script_and_letters(m)
+        loose = sum(map(b.count, LOOSE)) + (len(DASH.findall(b)) if "-" in b else 0)
+        out.append((kind, lang, len(m), ratio(m) if n >= 40 else 1.0, dense, 100 * loose / max(len(b), 1), n))
     return out
 
 

@@ -1,11 +1,15 @@
 """Page operators: garbled text, repeated lines, articles and spam."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from gossamer.llm import article, garbled, lines, spam
 
+from prose import PROSE
+
 TEXTS = [
     "Größe und Zähler wären für Österreich „gut“ — ja",
     "L’été dernier, « la file » a été élargie à côté",
@@ -66,6 +70,18 @@ def test_repeated_lines(spark):
     assert lines.repeated_lines(df.limit(0)).isEmpty()
 
 
+def test_summaries_lose_no_line_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for counters in (1, 5, 50, 10_000):
+        s = lines.Summary(counters, 10)
+        total: Counter = Counter()
+        for _ in range(60):
+            prints, counts = np.unique(rng.zipf(1.3, 200).astype(np.uint64), return_counts=True)
+            s.add(prints, counts)
+            total.update(dict(zip(prints.tolist(), counts.tolist())))
+        assert {p for p, n in total.items() if n >= 10} <= set(s.top().tolist())
+
+
 def test_repeated_lines_by_join(spark, monkeypatch):
     df = frame(spark, [(k, 1, f"same line\nown {k}") for k in range(12)])
     monkeypatch.setattr(lines, "MAX_SENT_LINES", 0)
@@ -86,17 +102,51 @@ def test_articles(spark):
 def test_articles_of_many_sites(spark, monkeypatch):
     df = frame(spark, [*site(), *((1000 + r[0], 8, r[2]) for r in site(seed=2))])
     want = {tuple(r) for r in article.article_lines(df).collect()}
-    for name, value in (("MAX_SENT_BRANCHES", 0), ("CHUNK", 7)):
-        monkeypatch.setattr(article, name, value)
-    assert {tuple(r) for r in article.article_lines(df).collect()} == want and len(want) == 180
-    monkeypatch.setattr(lines, "MAX_SENT_LINES", 0)
+    assert len(want) == 180
+    monkeypatch.setattr(lines, "MAX_SENT_LINES", 1)
     assert {tuple(r) for r in article.article_lines(df).collect()} == want
 
 
+def test_articles_of_a_page_fetched_often(spark):
+    rows = site()
+    df = frame(spark, [*rows, *((500 + k, 7, rows[3][2]) for k in range(40))])
+    got = article.article_lines(df).filter("request_id >= 500").collect()
+    assert len(got) == 120 and {r.line_no for r in got} == {5, 6, 8}
+
+
+def test_forms_of_single_lines_do_not_decide(spark):
+    said = ["File > Preferences > Settings opens the dialog.", "In all cases a / b / c holds.", "In May 2003-05-06"]
+    rows = site()
+    rows = [(k, s, p.replace("</main>", f"<p>{said[k]}</p>\n</main>") if k < 3 else p) for k, s, p in rows]
+    got = {(r.request_id, r.line_no) for r in article.article_lines(frame(spark, rows)).collect()}
+    assert {(0, 9), (1, 9), (2, 9)} <= got
+
+
 def test_text_page_sections():
     shown = ["Home | Docs", "", "Heading", "A sentence.", "", "Another one.", "", "", "Most read", "Unique side text", "", "", "All rights"]
-    got = article.text_branches(shown, lambda x: x in {"Home | Docs", "Most read", "All rights"})
-    assert [k for k, b in enumerate(got) if b == "text" and shown[k]] == [2, 3, 5]
+    counts = [9 if x in {"Home | Docs", "Most read", "All rights"} else 0 for x in shown]
+    got = article.text_branches(shown, counts)
+    assert [k for k, (b, _) in enumerate(got) if b == "text" and shown[k] and not counts[k]] == [2, 3, 5]
+
+
+@pytest.mark.parametrize("lang", list(PROSE))
+def test_ordinary_prose_of_any_script_is_no_spam(lang):
+    text = PROSE[lang]
+    assert not spam.is_spam([text]) and not spam.is_spam([text] * 2)
+    words = sorted({x.strip(".,;:،۔।։።") for x in text.replace("。", " ").replace("、", " ").split() if len(x) > 3})[:8]
+    words = words if len(words) > 4 else [text[k : k + 3] for k in range(0, 24, 3)]
+    random.seed(1)
+    assert spam.is_spam([" | ".join(random.choice(words) for _ in range(150))])
+
+
+def test_long_blocks_are_cut_whole():
+    own = [" ".join(PROSE.values())] * 3
+    assert "".join(x for x, _ in spam.blocks(own)) == "\n".join(own) and all(len(x) <= spam.PIECE for x, _ in spam.blocks(own))
+
+
+def test_letters_of_any_script_keep_apart():
+    for text in PROSE.values():
+        assert len(set(spam.units(text))) >= min(len(set(text)), 120) * 0.7
 
 
 def test_spam(spark):
