@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,8 +42,14 @@ ACCENT = "À-ÖØ-öø-ÿŒœŠšŽžŸ"
 PAIR = re.compile(rf"[{ACCENT}¡-¿‚-‹][{ACCENT} -¿€ƒˆ˜‚„…†‡‰‹‘“•–™š›œžŸ]")
 PAIR_OK = re.compile(r"(?:[öäüÖÄÜ]ß|[“”‘’„«»…—–]{2}|çã|çõ|ÇÃ|ÇÕ|ÃÇ|éé|ée|êé|ïé|¿[ÁÉÍÓÚáéíóú]|¡[ÁÉÍÓÚáéíóú]|«[ÀÂÉÈÊÎÔ¿¡]|[àâéèêîôûçáíóúãõñäöüßª]»|[“„‘][ÀÂÄÖÜÉÁÍÓÚ¿¡]|[àâéèêîôûçáíóúãõñäöüß][”“’…]|[’][àâéèêîôûÉ]|—[“„]|[…][”“»]|“‘|’”|»[…]|[»”’] |« | »|°»)")
 INNER = re.compile(r"[a-zß-öø-ÿ][ÀÂÄÇÈÉÊËÎÏÔÖÙÛÜÑÁÍÓÚÃÕ]")
-LONE = re.compile(r"(?:(?<=\s)|^)[ÀÂÄÇÈÉÊËÎÏÔÖÙÛÜÑÁÍÓÚÃÕùûöäüñçôõòãíúâêîïë](?=\s|$)")
-CAPITAL = re.compile(r"[ÃÕ](?=[^A-ZÀ-Ý]|$)")
+LONE = re.compile(r"(?:(?<=\s)|^)[ÂÇÈÊËÎÏÔÙÛÜÑÃÕùûñ](?=\s|$)")
+SMALL_FIRST = re.compile(r"[à-öø-ÿ][A-Z]")
+CAPITAL = re.compile(r"Ã(?=[^A-ZÀ-Ý]|$)")
+#: Two letters beside each other, and a run of such letters as no language writes it.
+TWO_LETTERS = re.compile(rf"[{ACCENT}]{{2}}")
+SYMBOLS = "„‚•§©®™×€¡¿°"
+INSIDE = re.compile(rf"[^\W\d_][{SYMBOLS}]+(?=[^\W\d_])")
+RUN = re.compile(r"[À-ÖØ-öø-ÿ]{4,}")
 CYRILLIC = re.compile(r"[А-Яа-яЁё]+")
 #: Letters of one script inside a word of another, as wrong guesses produce them.
 MIXED = re.compile(r"[a-zß-ÿ][А-яЁё]|[А-яЁё][a-zß-ÿ]|(?<=[a-zß-ÿ ][a-zß-ÿ])[一-鿿ァ-ヺ](?=[a-zß-ÿ])")
@@ -51,17 +58,20 @@ LETTER_COST = {c: i / 8 for i, c in enumerate(RUSSIAN)}
 
 
 @lru_cache(maxsize=1)
-def _common_han() -> frozenset:
-    """First-level characters of the Chinese and Japanese national sets, by their row ranges."""
-    out = set()
-    for codec, rows in (("gb2312", range(16, 56)), ("euc_jp", range(16, 48))):
+def _common_han() -> tuple[frozenset, ...]:
+    """First-level characters of the national sets of simplified, Japanese and traditional writing, by
+    their row ranges."""
+    out = []
+    for codec, rows, cells in (("gb2312", range(0xB0, 0xD8), range(0xA1, 0xFF)), ("euc_jp", range(0xB0, 0xD0), range(0xA1, 0xFF)), ("big5", range(0xA4, 0xC7), (*range(0x40, 0x7F), *range(0xA1, 0xFF)))):
+        own = set()
         for row in rows:
-            for cell in range(1, 95):
+            for cell in cells:
                 try:
-                    out.add(bytes([row + 160, cell + 160]).decode(codec))
+                    own.add(bytes([row, cell]).decode(codec))
                 except UnicodeDecodeError:
                     pass
-    return frozenset(out)
+        out.append(frozenset(own))
+    return tuple(out)
 
 
 @lru_cache(maxsize=1)
@@ -71,23 +81,84 @@ def _classes() -> tuple[frozenset, frozenset, frozenset, frozenset]:
     russian = set(RUSSIAN) | set(RUSSIAN.upper())
     kana = {chr(i) for i in (*range(0x3041, 0x3097), *range(0x30A1, 0x30FB))}
     accents = {chr(i) for i in range(0x80, 0x250)} | set("‚ƒ„…†‡ˆ‰‹‘’“”•–—˜™š›œžŸ€")
-    return frozenset(ascii_ | set(LATIN + MARKS + WIDE) | russian | kana | _common_han()), frozenset(accents), frozenset(russian), _common_han()
+    han = frozenset().union(*_common_han())
+    return frozenset(ascii_ | set(LATIN + MARKS + WIDE) | russian | kana | frozenset.intersection(*_common_han())), frozenset(accents), frozenset(russian), han
+
+
+@lru_cache(maxsize=65536)
+def _kind(c: str) -> tuple[str, str]:
+    """The general category of a character and, for letters and what belongs to them, its script."""
+    cat = unicodedata.category(c)
+    script = unicodedata.name(c, "").split(" ")[0] if c > "\x7f" else "LATIN" if cat[0] == "L" else ""
+    return cat, "CJK" if script in ("HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "IDEOGRAPHIC", "HANGUL", "BOPOMOFO") else script
+
+
+def _odd(s: str) -> float:
+    """What the characters cost that don't belong where they stand, whatever the language.
+
+    Controls and lost characters always do; a letter or sign beside letters of another script, a capital
+    behind a small letter, and a symbol inside or beside a word.  Letters among their like cost nothing.
+    """
+    c, n = 0.0, len(s)
+    for m in SUSPECT.finditer(s):
+        at, x = m.start(), m.group()
+        cat, script = _kind(x)
+        if cat in ("Cc", "Co", "Cn", "Cs") or x == "�":
+            c += 3
+            continue
+        if cat == "Cf":
+            continue
+        before = _kind(s[at - 1]) if at else ("Zs", "")
+        after = _kind(s[at + 1]) if at + 1 < n else ("Zs", "")
+        near = [k for k in (before, after) if k[0][0] in "LM"]
+        if cat[0] in "LM":
+            if script == "MICRO":
+                continue
+            if "｡" <= x <= "ﾟ":
+                c += 1  # half-width kana, which text of our time doesn't use
+                continue
+            strange = any(k[1] != script and not (k[0][0] == "M" and k[1] == "COMBINING" or script == "COMBINING") for k in near)
+            if script in ("CJK", "FULLWIDTH", "HALFWIDTH"):
+                strange = strange and any(k[0] in ("Ll", "Lo") and k[1] != "CJK" for k in (before,)) and after[0] == "Ll"
+            c += 2 if strange else cat == "Lu" and before[0] == "Ll"
+        elif near and not any(k[1] == script for k in near):
+            # exponents and marks that close a word
+            fine = cat == "No" and before[0][0] == "L" and after[0][0] != "L" or cat in ("Pf", "Pe", "Pi", "Ps", "Pd") and len(near) == 1
+            c += 0 if fine else 2
+        elif cat[0] == "S" and (before[0][0] == "S" or after[0][0] == "S"):
+            c += 1
+    return c
+
+
+def _han_cost(han: list[str]) -> float:
+    """Characters outside the common ones of the one national set that fits best."""
+    return 1.5 * min(sum(1 for x in han if x not in own) for own in _common_han())
 
 
 def cost(s: str) -> float:
-    """Garbling cost: characters and neighbourhoods that clean text of the known languages lacks."""
+    """Garbling cost: characters and neighbourhoods that clean text of any language lacks."""
     if s.isascii():
         return 0.0
     c = 0.0
     safe, accents, russian, common = _classes()
     chars = set(s)
     if chars - safe:
-        odd = SUSPECT.findall(s)
-        c += 2 * len(odd) + sum(1 for x in odd if "\x7f" <= x <= "\x9f" or x == "�")
-        c += 1.5 * sum(1 for x in HAN.findall(s) if x not in common)
+        c += _odd(s)
+        han = HAN.findall(s)
+        if han:
+            c += _han_cost(han)
     if chars & accents:
-        c += sum(1 for m in PAIR.findall(s) if not PAIR_OK.match(m))
-        c += len(INNER.findall(s)) + len(CAPITAL.findall(s)) + len(LONE.findall(s))
+        for m in PAIR.finditer(s):
+            two = m.group()
+            if TWO_LETTERS.fullmatch(two):
+                # small letters stand beside each other in many languages
+                c += two[1].isupper() and not (two[0].isupper() and s[m.end() : m.end() + 1].isupper())
+            elif not PAIR_OK.match(two):
+                c += 1
+        c += len(INNER.findall(s)) + len(CAPITAL.findall(s)) + sum(len(x) for x in RUN.findall(s) if len(set(x.lower())) > 2)
+        c += len(LONE.findall(s)) + len(SMALL_FIRST.findall(s))
+    if not chars.isdisjoint(SYMBOLS):
+        c += len(INSIDE.findall(s))
     slavic = not chars.isdisjoint(russian)
     if slavic or not chars.isdisjoint(common):
         c += 1.5 * len(MIXED.findall(s))

@@ -55,7 +55,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.n
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a map task: rows after the first of their key in the batch are decided at once.
 
-    They leave with ``shard`` -1 - id, so that the copies of a hot key spread over all reducers.
+    They leave with ``seen`` set, so that the copies of a hot key spread over all reducers by their ids.
     """
     for tab, rid, h1, h2 in _grouped(batches, BATCH_ROWS):
         first = _firsts(h1, h2, rid)

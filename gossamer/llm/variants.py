@@ -1,8 +1,10 @@
 """Problem 3: duplicates hidden by formatting differences.
 
-A record's canonical form drops whitespace, case, punctuation and field order.  Bloom filters of once-
-and repeatedly-seen canonical hashes are built per partition and merged; only possible repeats are
-shuffled for exact grouping, all others are singletons.
+A record's canonical form drops whitespace, case, punctuation and field order, and is hashed to 128 bits.
+The hashes are split by range.  Each range owns a Bloom filter of once- and one of repeatedly-seen hashes,
+merged from what the partitions send (every hash once); records whose hash may have been seen repeatedly go
+to the exact grouping, all others are singletons.  No filter is sent to the tasks, so none is bounded by
+the size of the table.
 """
 
 from __future__ import annotations
@@ -11,17 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import skew_join
+from ..session import written
 from .mphf import mixed
 
-#: Bits per record of the merged filters, and the bound of what is sent to every task (32 MB).
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
-#: Bits of one segment; partitions send only the segments' set positions.
-SEGMENT_BITS = 1 << 20
+#: Bits for each hash of a range's filters, and hash functions.
+BITS_PER_HASH, FUNCTIONS = 16, 2
+#: Records of a range on average, and records of a task among which copies are found before the shuffle.
+RANGE_ROWS, BATCH_ROWS = 500_000, 131_072
 WORD = r"[^\p{L}\p{Nd}\p{Nl}\p{No}]+"
 #: Top-level labels that tell which end of a host name is the top (fixed values).
 TOP_LABELS = "example test invalid localhost com org net edu gov mil int info biz arpa de fr es pt ru cn jp uk it nl ch at se us eu"
@@ -60,72 +63,88 @@ def alias_form(hid: Column, alias_id: Column, alias: Column) -> Column:
     return F.concat(owner, F.lit("\t"), host_form(alias))
 
 
-def _slots(h: np.ndarray, bits: int) -> np.ndarray:
-    return (mixed(h, 0) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _partition_filters(bits: int):
-    """Positions seen once and more than once by a partition, by segment, as packed arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
-        if not held:
-            return
-        # the record id keeps a row delivered twice from counting as a repeat
-        at, n = np.unique(_slots(np.concatenate(held), bits), return_counts=True)
-        seg = at // SEGMENT_BITS
-        cuts = np.flatnonzero(np.diff(seg)) + 1
-        starts = np.concatenate([[0], cuts]) if len(at) else cuts
-        local = (at % SEGMENT_BITS).astype(np.uint32)
-        once = [x.tobytes() for x in np.split(local, cuts)] if len(at) else []
-        twice = [x[m > 1].tobytes() for x, m in zip(np.split(local, cuts), np.split(n, cuts))] if len(at) else []
-        yield pa.RecordBatch.from_arrays([pa.array(seg[starts], pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["segment", "once", "twice"])
-
-    return run
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within a task: the smallest id of each hash stands for its copies, which are repeats already.
 
+    ``sort`` 0: a hash met once here, 1: one with copies here, 2: such a copy, which needs no filter.
+    """
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge of partition filters: a bit set by two partitions, or twice by one, is a possible repeat."""
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
-    for b in batches:
-        for s, o, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-            a = once.setdefault(s, np.zeros(SEGMENT_BITS, bool))
-            z = twice.setdefault(s, np.zeros(SEGMENT_BITS, bool))
-            o, t = np.frombuffer(o, np.uint32), np.frombuffer(t, np.uint32)
-            z[o[a[o]]] = True
-            z[t] = True
-            a[o] = True
-    for s, z in twice.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(z).tobytes()], pa.binary())], ["segment", "twice"])
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        tab, rid, h1, h2 = (pa.concat_arrays([x.column(k) for x in held]).to_numpy(zero_copy_only=False) for k in range(4))
+        order = np.lexsort((rid, h2, h1))
+        a, b = h1[order], h2[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        last = np.ones(len(order), bool)
+        last[:-1] = first[1:]
+        sort = np.full(len(order), 2, np.int8)
+        sort[order[first]] = 1
+        sort[order[first & last]] = 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (tab, rid, h1, h2, sort)], ["tab", "rec_id", "h1", "h2", "sort"])
+
+    held, n = [], 0
+    for x in batches:
+        held.append(x)
+        n += x.num_rows
+        if n >= BATCH_ROWS:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
+
+
+class OnceTwice:
+    """Bloom filters of the hashes seen once and seen repeatedly."""
+
+    def __init__(self, n: int):
+        self.bits = 1 << max(6, int(BITS_PER_HASH * max(n, 1) - 1).bit_length())
+        self.once, self.twice = np.zeros(self.bits, bool), np.zeros(self.bits, bool)
+
+    def _slots(self, h: np.ndarray, k: int) -> np.ndarray:
+        return (mixed(h, k) & np.uint64(self.bits - 1)).astype(np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        for k in range(FUNCTIONS):
+            at, n = np.unique(self._slots(h, k), return_counts=True)
+            self.twice[at[self.once[at] | (n > 1)]] = True
+            self.once[at] = True
+
+    def may_repeat(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash may have been added more than once; never wrong for one that was."""
+        hit = np.ones(len(h), bool)
+        for k in range(FUNCTIONS):
+            hit &= self.twice[self._slots(h, k)]
+        return hit
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range: the records whose hash may be repeated."""
+    names = ["tab", "rec_id", "h1", "h2"]
+    held: list[pa.RecordBatch] = []
+    for x in batches:
+        copies = pa.compute.equal(x.column("sort"), pa.scalar(2, pa.int8()))
+        yield x.filter(copies).select(names)
+        held.append(x.filter(pa.compute.invert(copies)))
+    if not held:
+        return
+    filters = OnceTwice(sum(x.num_rows for x in held))
+    for x in held:
+        filters.add(x.column("h1").to_numpy())
+    for x in held:
+        on = filters.may_repeat(x.column("h1").to_numpy()) | (x.column("sort").to_numpy() == 1)
+        yield x.filter(pa.array(on)).select(names)
 
 
 def repeats(keyed: DataFrame, total: int) -> DataFrame:
-    """Rows of ``keyed`` (columns ``grp``, ``rec_id``, ``h``) whose ``h`` may occur more than once.
+    """Rows of ``keyed`` (``tab``, ``rec_id`` and the hash ``h1``, ``h2``) whose hash may occur more than
+    once.  Never loses a repeat.
 
-    Never loses a repeat.  The merged filter is sent to the tasks only while it keeps within
-    ``MAX_BITS``; a larger table skips the filter and all its rows go to the exact grouping.
+    A hot hash reaches its range once from each batch of a task; its copies spread by their ids.
     """
-    bits = max(SEGMENT_BITS, 1 << max(0, int(BITS_PER_ROW * max(total, 1) - 1)).bit_length())
-    if bits > MAX_BITS:
-        return keyed
-    spark = keyed.sparkSession
-    parts = keyed.select("h").mapInArrow(_partition_filters(bits), "segment bigint, once binary, twice binary")
-    merged = parts.repartition("segment").mapInArrow(_merge, "segment bigint, twice binary").collect()  # at most MAX_BITS / 8 bytes
-    segments = {r["segment"]: bytes(r["twice"]) for r in merged}
-    sent = spark.sparkContext.broadcast(segments)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = sent.value
-        filt = np.zeros(bits // 8, np.uint8)
-        for s, x in have.items():
-            filt[s * SEGMENT_BITS // 8 : (s + 1) * SEGMENT_BITS // 8] = np.frombuffer(x, np.uint8)
-        for b in batches:
-            at = _slots(b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False), bits)
-            on = (filt[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            yield b.filter(pa.array(on))
-
-    return keyed.mapInArrow(keep, keyed.schema)
+    ranges = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    local = keyed.mapInArrow(_local, "tab tinyint, rec_id bigint, h1 bigint, h2 bigint, sort tinyint")
+    spread = local.repartition(ranges, F.when(F.col("sort") == 2, F.col("rec_id")).otherwise(F.col("h1")))
+    return spread.mapInArrow(_possible, "tab tinyint, rec_id bigint, h1 bigint, h2 bigint")
 
 
 def variant_groups(parts: list[tuple[DataFrame, str, str, Column]], total: int | None = None) -> DataFrame:
@@ -134,18 +153,20 @@ def variant_groups(parts: list[tuple[DataFrame, str, str, Column]], total: int |
     ``parts`` holds (table, its name, id column, canonical form).  ``keep_id`` is the smallest id of a
     group, each other id is one ``dup_id``; a group's copies are its rows plus one.  A null form is no
     case; identical values are copies; a row delivered twice under one id is one record; an empty table
-    gives no row; a form without any word (only punctuation) is a value like others.
+    gives no row; a form without any word (only punctuation) is a value like others; a null id names no
+    record.  Forms agree when their 128-bit hashes do.
     """
     keyed = None
-    for df, tab, rec_id, form in parts:
-        one = df.select(F.lit(tab).alias("tab"), F.col(rec_id).cast("bigint").alias("rec_id"), form.alias("form")).filter("form IS NOT NULL")
+    for i, (df, _, rec_id, form) in enumerate(parts):
+        one = df.select(F.col(rec_id).cast("bigint").alias("rec_id"), form.alias("form")).filter("form IS NOT NULL AND rec_id IS NOT NULL")
+        one = one.select(F.lit(i).cast("tinyint").alias("tab"), "rec_id", F.xxhash64(F.lit(2 * i + 1), "form").alias("h1"), F.xxhash64(F.lit(-2 * i - 2), "form").alias("h2"))
         keyed = one if keyed is None else keyed.unionByName(one)
     if total is None:
-        total = sum(df.count() for df, *_ in parts)
-    keyed = keyed.withColumn("h", F.xxhash64("tab", "form"))
-    maybe = repeats(keyed, total)
+        total = sum(df.count() for df, *_ in parts)  # from Parquet footers
+    maybe = written(repeats(keyed, total), "possible-repeats")
     # exact grouping: partial minima leave each map task once per form, however often it occurs there
-    groups = maybe.groupBy("tab", "form").agg(F.min("rec_id").alias("keep_id"), F.max("rec_id").alias("last_id")).filter("keep_id < last_id")
-    heads = groups.select(F.xxhash64("tab", "form").alias("h"), F.col("tab").alias("tab_"), F.col("form").alias("form_"), "keep_id")
-    pairs = skew_join(maybe, heads, "h")
-    return pairs.filter("tab = tab_ AND form = form_ AND rec_id > keep_id").select("tab", "keep_id", F.col("rec_id").alias("dup_id")).distinct()
+    groups = maybe.groupBy("h1", "h2").agg(F.min("rec_id").alias("keep_id"), F.max("rec_id").alias("last_id")).filter("keep_id < last_id")
+    heads = groups.select("h1", F.col("h2").alias("other"), "keep_id")
+    pairs = skew_join(maybe, heads, "h1").filter("h2 = other AND rec_id > keep_id")
+    names = F.array(*[F.lit(t) for _, t, _, _ in parts])
+    return pairs.select(F.element_at(names, F.col("tab").cast("int") + 1).alias("tab"), "keep_id", F.col("rec_id").alias("dup_id")).distinct()
