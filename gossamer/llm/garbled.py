@@ -54,15 +54,16 @@ CYRILLIC = re.compile(r"[А-Яа-яЁё]+")
 #: Letters of one script inside a word of another, as wrong guesses produce them.
 MIXED = re.compile(r"[a-zß-ÿ][А-яЁё]|[А-яЁё][a-zß-ÿ]|(?<=[a-zß-ÿ ][a-zß-ÿ])[一-鿿ァ-ヺ](?=[a-zß-ÿ])")
 HAN = re.compile(r"[一-鿿]")
+KANA = re.compile(r"[ぁ-ゖ]")
 LETTER_COST = {c: i / 8 for i, c in enumerate(RUSSIAN)}
 
 
 @lru_cache(maxsize=1)
 def _common_han() -> tuple[frozenset, ...]:
-    """First-level characters of the national sets of simplified, Japanese and traditional writing, by
-    their row ranges."""
+    """First-level characters of the national sets of simplified, Japanese and traditional writing and all
+    of the Japanese set, by their row ranges."""
     out = []
-    for codec, rows, cells in (("gb2312", range(0xB0, 0xD8), range(0xA1, 0xFF)), ("euc_jp", range(0xB0, 0xD0), range(0xA1, 0xFF)), ("big5", range(0xA4, 0xC7), (*range(0x40, 0x7F), *range(0xA1, 0xFF)))):
+    for codec, rows, cells in (("gb2312", range(0xB0, 0xD8), range(0xA1, 0xFF)), ("euc_jp", range(0xB0, 0xD0), range(0xA1, 0xFF)), ("big5", range(0xA4, 0xC7), (*range(0x40, 0x7F), *range(0xA1, 0xFF))), ("euc_jp", range(0xB0, 0xF5), range(0xA1, 0xFF))):
         own = set()
         for row in rows:
             for cell in cells:
@@ -130,9 +131,11 @@ def _odd(s: str) -> float:
     return c
 
 
-def _han_cost(han: list[str]) -> float:
-    """Characters outside the common ones of the one national set that fits best."""
-    return 1.5 * min(sum(1 for x in han if x not in own) for own in _common_han())
+def _han_cost(s: str, han: list[str]) -> float:
+    """Characters outside the common ones of the one national set that fits best; beside kana only the
+    Japanese set fits."""
+    *first, japanese = _common_han()
+    return 1.5 * min(sum(1 for x in han if x not in own) for own in ((japanese,) if KANA.search(s) else first))
 
 
 def cost(s: str) -> float:
@@ -146,7 +149,7 @@ def cost(s: str) -> float:
         c += _odd(s)
         han = HAN.findall(s)
         if han:
-            c += _han_cost(han)
+            c += _han_cost(s, han)
     if chars & accents:
         for m in PAIR.finditer(s):
             two = m.group()

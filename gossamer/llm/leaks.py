@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -28,8 +29,8 @@ JOINED = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 WORDS, TRIGRAMS = 10, 18
 RANK, POWER_ROUNDS = 48, 2
 COSINE = 0.97
-#: Held-out items that may be sent to the tasks.
-MAX_ITEMS = 50_000
+#: Held-out items sent to the tasks at once; more of them are searched for in blocks.
+BLOCK_ITEMS = 20_000
 BLOCK = 1024
 
 
@@ -37,8 +38,6 @@ class Items:
     """Vocabulary and passages of the held-out items; kind 0: words, kind 1: joined letters."""
 
     def __init__(self, rows: list[tuple[int, str | None, str | None]]):
-        if len(rows) > MAX_ITEMS:
-            raise ValueError("too many held-out items to be sent to the tasks")
         self.vocab: tuple[dict[str, int], dict[str, int]] = ({}, {})
         windows: tuple[list, list] = ([], [])
         owner: tuple[list, list] = ([], [])
@@ -162,10 +161,9 @@ def latent_basis(passages: DataFrame, items: Items, kind: int, idf: np.ndarray)
         def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, total = sent.value, None
             for b in batches:
-                # disjoint passages stand for a run
-                cut = [w for ids in b.column(0).to_pylist() for w in _cut(np.array(ids, np.int32), n)[::n]]
+                cut = [_cut(np.array(ids, np.int32), n) for ids in b.column(0).to_pylist()]
                 if cut:
-                    part = _gram_product(np.array(cut), idf, now)
+                    part = _gram_product(np.concatenate(cut), idf, now)
                     total = part if total is None else total + part
             if total is not None:
                 k = range(0, size, rows_per)
@@ -194,7 +192,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _study(docs: DataFrame, held_out: DataFrame, doc_id: str, item_id: str, text: str, lang: str):
     """The items, the documents' two columns, their passages (written), which of the items' tokens are
     rare, and their idf."""
-    items = Items([(r[0], r[1], r[2]) for r in held_out.select(item_id, text, lang).limit(MAX_ITEMS + 1).collect()])
+    items = Items([(r[0], r[1], r[2]) for r in held_out.select(item_id, text, lang).collect()])  # at most BLOCK_ITEMS
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     passages = written(rows.mapInArrow(_passages(items), PASSAGE), "passages")
     freq: tuple = tuple(np.zeros(len(v) + 1, np.int64) for v in items.vocab)
@@ -206,14 +204,29 @@ def _study(docs: DataFrame, held_out: DataFrame, doc_id: str, item_id: str, text
     return items, rows, passages, rare, tuple(np.log((f[-1] + 1) / (f[:-1] + 1)).astype(np.float32) + np.float32(0.1) for f in freq)
 
 
+def _in_blocks(search, docs: DataFrame, held_out: DataFrame, item_id: str, *rest) -> DataFrame:
+    """``search`` over blocks of at most about ``BLOCK_ITEMS`` items, each against all documents; rows of one
+    item stay together."""
+    blocks = -(-held_out.count() // BLOCK_ITEMS)
+    if blocks <= 1:
+        return search(docs, held_out, item_id, *rest)
+    part = F.pmod(F.xxhash64(item_id), F.lit(blocks))
+    found = [search(docs, held_out.filter(part == k), item_id, *rest) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def leaked_items(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id`` and ``item_id`` of every document and item with a passage in common.
 
     A passage is ten consecutive words, or twenty joined letters and digits for items of lang zh,
     compared without case and separators.  Null, empty and blank texts share nothing; repeated rows give
-    a pair once; an empty table gives no row; other columns are not read.  The held-out items are bounded
-    by ``MAX_ITEMS`` and stand in memory; the documents never do.
+    a pair once; an empty table gives no row; other columns are not read.  A block of the held-out items
+    stands in memory; the documents never do.
     """
+    return _in_blocks(_leaked_items, docs, held_out, item_id, doc_id, text, lang)
+
+
+def _leaked_items(docs: DataFrame, held_out: DataFrame, item_id: str, doc_id: str, text: str, lang: str) -> DataFrame:
     spark = docs.sparkSession
     items, rows, passages, rare, idfs = _study(docs, held_out, doc_id, item_id, text, lang)
     found = None
@@ -320,8 +333,12 @@ def similar_passages(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id
 
     Every pair of ``leaked_items`` is a case, whatever its answers.  Besides, passages of ``SPAN`` tokens at
     every half span are candidates by latent cosine; the subsequence and the answers decide.  Nulls, repeats
-    and empty tables as in ``leaked_items``.
+    and empty tables as in ``leaked_items``.  A token's rarity in the items is that in its block of items.
     """
+    return _in_blocks(_similar_passages, docs, held_out, item_id, doc_id, text, lang)
+
+
+def _similar_passages(docs: DataFrame, held_out: DataFrame, item_id: str, doc_id: str, text: str, lang: str) -> DataFrame:
     spark = docs.sparkSession
     items, rows, passages, rare, idfs = _study(docs, held_out, doc_id, item_id, text, lang)
     known: dict[int, list] = {0: [], 1: []}

@@ -63,40 +63,43 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard in order of arrival: exact current batch, sealed partitions of all earlier keys."""
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for b in batches:
-        seen = b.column(4).to_numpy(zero_copy_only=False)
-        tab, rid, h1, h2 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.array(tab[seen], pa.int8()), pa.array(rid[seen])], ["tab", "rec_id"])
-        for c, x in zip(cols, (tab, rid, h1, h2)):
-            c.append(x[~seen])
-    if not cols[0]:
-        return
-    tab, rid, h1, h2 = (np.concatenate(c) for c in cols)
-    del cols
-    order = np.lexsort((h2, h1, rid))
-    a, b, r = h1[order], h2[order], rid[order]
-    again = np.zeros(len(order), bool)
-    again[1:] = (r[1:] == r[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    order = order[~again]
+    """One shard in order of arrival: exact current batch, sealed partitions of all earlier keys.
+
+    Only the current batch and the sealed partitions (about six bytes a key) are in memory.
+    """
     sealed: list[Sealed] = []
-    for k in range(0, len(order), BATCH_ROWS):
-        now = order[k : k + BATCH_ROWS]
-        a, b, r = h1[now], h2[now], rid[now]
+
+    def settle(tab: np.ndarray, r: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         first = _firsts(a, b, r)
         prints = (b.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-        old = np.zeros(len(now), bool)
+        old = np.zeros(len(r), bool)
         for s in sealed:
             ask = np.flatnonzero(first & ~old)
             old[ask] = s.has(a[ask], prints[ask])
-        hit = old | ~first
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(tab[now][hit], pa.int8()), pa.array(r[hit])], ["tab", "rec_id"])
         new = np.flatnonzero(first & ~old)
-        _, at = np.unique(a[new], return_index=True)
-        sealed.append(Sealed(a[new[at]], prints[new[at]]))
+        keys, at = np.unique(a[new], return_index=True)
+        if len(keys):
+            sealed.append(Sealed(keys, prints[new[at]]))
+        # an id delivered twice comes out once
+        ids, at = np.unique(np.stack([tab.astype(np.int64), r], 1)[old | ~first], axis=0, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids[:, 0].astype(np.int8)), pa.array(ids[:, 1])], ["tab", "rec_id"])
+
+    held: list[np.ndarray] | None = None
+    for x in batches:
+        seen = x.column(4).to_numpy(zero_copy_only=False)
+        cols = [x.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0][seen], pa.int8()), pa.array(cols[1][seen])], ["tab", "rec_id"])
+        cols = [c[~seen] for c in cols]
+        held = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
+        if len(held[1]) >= BATCH_ROWS:
+            # rows of one id stay together
+            end = int(np.searchsorted(held[1], held[1][-1]))
+            if end:
+                yield settle(*(c[:end] for c in held))
+                held = [c[end:] for c in held]
+    if held is not None and len(held[1]):
+        yield settle(*held)
 
 
 def seen_before(df: DataFrame, tab: str, rec_id: str, key: str, total: int | None = None) -> DataFrame:
@@ -129,7 +132,8 @@ def seen_in(parts: list[tuple[DataFrame, str, str, str]], total: int | None = No
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_ROWS))
     local = rows.mapInArrow(_local, "tab tinyint, rec_id bigint, h1 bigint, h2 bigint, seen boolean")
     spread = local.repartition(shards, F.when(F.col("seen"), F.col("rec_id")).otherwise(F.col("h1")))
-    hits = spread.mapInArrow(_decide, "tab tinyint, rec_id bigint")
+    # the order of arrival is made by the sort of the shuffle, which spills
+    hits = spread.sortWithinPartitions("rec_id").mapInArrow(_decide, "tab tinyint, rec_id bigint")
     names = F.array(*[F.lit(t) for _, t, _, _ in parts])
     return hits.select(F.element_at(names, F.col("tab").cast("int") + 1).alias("tab"), "rec_id")
 

@@ -48,7 +48,11 @@ MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Ok
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 #: A word with a full stop, and what follows.
 DOTTED = re.compile(r"(?<![^\s(\[{“„«\"'‘/—–-])((?:[^\W\d_]+[.-])*[^\W\d_]+)\.(?=\s+(\S+)|[,;:)])")
-MARK = re.compile(r"[.!?…؟।॥。！？]+")
+MARK = re.compile(r"[.!?…؟।॥。！？｡۔։።፧။។៕]+")
+#: Marks that always end a sentence: those of Devanagari, Urdu, Armenian, Ethiopic, Burmese and Khmer.
+ALWAYS = "।॥۔։።፧။។៕"
+#: The question mark of Greek, which looks like a semicolon.
+GREEK_QUESTION = re.compile(r"(?<=[Ͱ-Ͽἀ-῿])[;;](?=\s)")
 BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 CLOSERS = ")]}”’」』）】》»›"
 OPENERS = "“„«\"'‘(¿¡[「『（"
@@ -281,6 +285,8 @@ def _paragraph(text: str, at: int, stop: int, doc: Document, out: list[int]) ->
         return
     ends = [_decide(text, m, at, stop, doc) for m in MARK.finditer(text, at, stop)]
     found = {e for e in ends if e}
+    if GREEK_QUESTION.search(text, at, stop):
+        found |= {m.end() for m in GREEK_QUESTION.finditer(text, at, stop)}
     if THAI_CHAR.search(text, at, stop):
         found |= {m.start() for m in THAI_GAP.finditer(text, at, stop)}
         for m in THAI_LATIN.finditer(text, at, stop):
@@ -310,7 +316,7 @@ def _decide(text: str, m: re.Match, at: int, stop: int, doc: Document) -> int:
         return stop
     nxt = text[end]
     last = run[-1]
-    if last in "。！？":
+    if last in "。！？｡":
         if nxt in "，、；,;—）)":
             return 0
         if marks:
@@ -328,7 +334,7 @@ def _decide(text: str, m: re.Match, at: int, stop: int, doc: Document) -> int:
             if text.count("“", at, i) > text.count("”", at, i) and "”" in text[j:stop] and WIDE.search(text[j : j + 1] or " "):
                 return 0
         return end
-    if last in "।॥":
+    if last in ALWAYS:
         return end
     if last == "…" and "." not in run and not any(c in "!?" for c in run):
         if not nxt.isspace():

@@ -37,6 +37,17 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked_items(d.limit(0), i).isEmpty() and leaks.leaked_items(d, i.limit(0)).isEmpty()
 
 
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    random.seed(6)
+    items = [(k, " ".join(f"w{random.randrange(500)}" for _ in range(30)), "en") for k in range(9)]
+    docs = [(k, "some words before " + items[k % 9][1][20:90] + " and after") for k in range(30)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string, lang string")
+    want = {tuple(r) for r in leaks.leaked_items(d, i).collect()}
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 4)
+    assert {tuple(r) for r in leaks.leaked_items(d, i).collect()} == want and len(want) == 30
+
+
 def test_reworded_passages(spark):
     items = [(1, "Suppose that Eoorm must visit 12701 sites while Ropell keeps only 2859 open queues, so that each request to Latelsima waits until Quikelnix has emptied buffer 7117.", "en"), (2, None, "en")]
     docs = [(1, "We suppose Eoorm must first visit 12701 different sites while old Ropell keeps just 2859 open message queues, so each new request to Latelsima waits until poor Quikelnix emptied the buffer 7117."), (2, "Nothing here is about it " * 20), (3, None), (4, "")]
@@ -70,6 +81,13 @@ def cut(text):
         ["«Готов ли он?» — спросил R. Ким.", "См. рис. 5, где показаны ранги и т. д.", "Это прим. 64 страниц, т. к. он работает."],
         ["“他能处理吗？”B. Li在邮件里问道。", "K说：“请先停止，还有没有处理。”", "然后继续……直到队列为空。"],
         ["Sさんは「止めてください。」と書いた。", "なぜだろう？", "動いた！"],
+        ["تمام انسان آزاد پیدا ہوئے ہیں۔", "انہیں عقل ودیعت ہوئی ہے۔", "کیا یہ درست ہے؟"],
+        ["Բոլոր մարդիկ ծնվում են ազատ։", "Նրանք ունեն բանականություն։"],
+        ["የሰው ልጅ ሁሉ ሲወለድ ነጻ ነው።", "ሕሊና አለው።"],
+        ["လူတိုင်းသည် လွတ်လပ်သည်။", "သူတို့သည် ဆက်ဆံသင့်၏။"],
+        ["មនុស្សទាំងអស់ កើតមកមានសេរីភាព។", "ពួកគេមានសិទ្ធិ។"],
+        ["Είναι έτοιμος ο πίνακας;", "Ναι, είναι έτοιμος.", "Τι έγινε;", "Τίποτα."],
+        ["ﾊｲ､ｿｳﾃﾞｽ｡", "ｵﾜﾘ｡"],
         ["क्या वह तैयार है?", "डॉ. A. Rao ने जाँचा।", "क्यों नहीं?"],
         ["هل هو جاهز؟", "كتب د. Ali أن ذلك صحيح.", "لم يكن هذا السبب."],
         ["นั่นไม่ใช่สาเหตุ", "ระบบ Alpha รุ่น 2.1 ทำงาน", "คุณ B. Q ย้าย"],

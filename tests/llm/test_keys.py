@@ -101,3 +101,33 @@ def test_bpe_equals_the_public_tokenizer(spark):
         t = texts[r.doc_id]
         assert list(r.ids) == ref.encode(t or "", add_special_tokens=False).ids
     assert bpe.encode_corpus(df.limit(0)).isEmpty()
+
+
+def test_hot_variants_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(variants, "BATCH_ROWS", 7)
+    monkeypatch.setattr(variants, "RANGE_ROWS", 5)
+    rows = [(k, "Same  form!" if k % 3 else f"own {k}") for k in range(200)] + [(300, None), (None, "same form"), (1, "same form")]
+    df = spark.createDataFrame(rows, "id bigint, x string").repartition(5)
+    got = {(r.keep_id, r.dup_id) for r in variants.variant_groups([(df, "t", "id", variants.words(F.col("x")))]).collect()}
+    same = [k for k in range(200) if k % 3]
+    assert got == {(1, k) for k in same[1:]}
+
+
+def test_filters_lose_no_repeat():
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(2**62), 2**62, 5000)
+    f = variants.OnceTwice(10)
+    f.add(h[:3000])
+    f.add(h[2500:])
+    assert f.may_repeat(h[2500:3000]).all()
+    g = variants.OnceTwice(5500)
+    g.add(h)
+    assert g.may_repeat(h).mean() < 0.05
+
+
+def test_seen_in_order_of_arrival_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(seen, "BATCH_ROWS", 16)
+    rows = [(k, f"k{k % 37}") for k in range(300)] + [(5, "k5"), (5, "k5"), (400, None)]
+    df = spark.createDataFrame(rows, "id bigint, x string").repartition(6)
+    got = sorted(r.rec_id for r in seen.seen_before(df, "t", "id", "x").collect())
+    assert got == list(range(37, 300))

@@ -162,3 +162,17 @@ def test_spam(spark):
     df = frame(spark, rows)
     assert {r.request_id for r in spam.spam_pages(df).collect()} == {2, 3, 4}
     assert spam.spam_pages(df.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("lang", list(PROSE))
+def test_clean_text_of_any_language_is_no_case(lang):
+    text = PROSE[lang]
+    for piece in [text, *text.split(), *text.split(". ")]:
+        assert garbled.mend_line(piece) == (piece, False)
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "latin_1", "cp437", "mac_roman", "cp1251", "koi8_r", "cp1250"])
+def test_text_of_any_language_is_restored(wrong):
+    table = {b: c for c, b in garbled._byte_of(wrong).items()}
+    texts = [t for t in PROSE.values() if not t.isascii() and all(b in table for b in t.encode())]
+    assert len(texts) > 30 and all(garbled.mend_line("".join(table[b] for b in t.encode())) == (t, True) for t in texts)
