@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import re
+import string
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,12 +45,21 @@ def links(page: Column, mode: str = "scanner") -> Column:
     return F.filter(found, lambda x: x["link"] != "")
 
 
+def exploded(values: Column) -> Column:
+    """A row for each value, and a null row where there is none.
+
+    The plain form lets the optimizer put a filter of the same expression before it, which would read each
+    page twice.
+    """
+    return F.explode_outer(values)
+
+
 def page_links(pages: DataFrame, key: str, address: str, page: str, mode: str = "clean", images: bool = False, http_only: bool = True) -> DataFrame:
     """``key``, ``pos``, ``tag``, ``link`` and resolved ``target`` of the followed links of all pages.
 
     A ``base`` tag changes the base of the links after it.  Only http links are followed by default.
     """
-    rows = pages.filter(F.col(page).isNotNull() & F.col(address).isNotNull()).select(key, F.col(address).alias("own"), F.explode(links(F.col(page), mode)).alias("l")).select(key, "own", "l.*")
+    rows = pages.filter(F.col(page).isNotNull() & F.col(address).isNotNull()).select(key, F.col(address).alias("own"), exploded(links(F.col(page), mode)).alias("l")).filter("l IS NOT NULL").select(key, "own", "l.*")
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     based = rows.withColumn("base", F.coalesce(F.last(F.when(F.col("tag") == "base", F.col("link")), True).over(before), F.col("own")))
     followed = based.filter(F.col("tag").isin(*FOLLOWED, *(["img"] if images else [])))
@@ -117,6 +127,16 @@ def split_nonempty(text: Column, separators: str) -> Column:
     return F.filter(F.split(text, "[" + re.escape(separators) + "]"), lambda x: x != "")
 
 
+def split_fields(text: Column, separators: str) -> Column:
+    """Fields between separators, empty ones kept: ``:a::b:`` has five."""
+    return F.split(text, "[" + re.escape(separators) + "]", -1)
+
+
+def ascii_lower(text: Column) -> Column:
+    """Small letters for the 26 of ASCII only."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def text_lines(text: Column) -> Column:
     """Lines ended by CR, LF or both."""
     return F.split(text, r"\r\n|\r|\n")

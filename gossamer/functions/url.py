@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -181,6 +183,7 @@ def query_fields(query: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]))
 
 
+@lru_cache(maxsize=8)
 def _table(poly: int, bits: int) -> np.ndarray:
     """Table of a non-reflected CRC, made from its polynomial."""
     top, mask = 1 << (bits - 1), (1 << bits) - 1
@@ -193,10 +196,15 @@ def _table(poly: int, bits: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=8)
+def _entries(poly: int, bits: int) -> list[int]:
+    return [int(x) for x in _table(poly, bits)]
+
+
 def crc(data: bytes, poly: int, bits: int, start: int) -> int:
-    table, c, mask = _table(poly, bits), start, (1 << bits) - 1
+    table, c, mask = _entries(poly, bits), start, (1 << bits) - 1
     for b in data:
-        c = ((c << 8) & mask) ^ int(table[(c >> (bits - 8)) ^ b])
+        c = ((c << 8) & mask) ^ table[(c >> (bits - 8)) ^ b]
     return c
 
 

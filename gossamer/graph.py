@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,10 @@ class Graph:
         """A graph of an edge table; rows with a null end are no edges.  ``n`` adds the ids 0..n-1."""
         wanted = {src: "src", dst: "dst"} | ({eid: "eid"} if eid else {})
         e = edges.drop(*({"src", "dst", "eid"} - set(wanted))).withColumnsRenamed(wanted).filter("src IS NOT NULL AND dst IS NOT NULL")
-        e = e if eid else e.withColumn("eid", F.monotonically_increasing_id())
+        if not eid:
+            # the same on every run, unlike a row number of the plan; parallel edges by their rank
+            rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy(*[c for c in e.columns if c not in ("src", "dst")] or [F.lit(0)]))
+            e = e.withColumn("eid", F.xxhash64("src", "dst", rank))
         v = e.select(F.explode(F.array("src", "dst")).alias("id"))
         if n is not None:
             v = v.unionByName(edges.sparkSession.range(n))
@@ -74,8 +77,6 @@ class Graph:
         for p, c in sizes:
             bases.append((p, base))
             base += c
-        from pyspark.sql import Window
-
         rank = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
         starts = ordered.sparkSession.createDataFrame(bases, "part int, base bigint")
         return ordered.withColumn("rank", rank).join(F.broadcast(starts), "part").select("id", (F.col("base") + F.col("rank")).alias("index"))

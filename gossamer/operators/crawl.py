@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
@@ -125,3 +125,42 @@ def simulate(links: DataFrame, seeds: DataFrame, site_of: DataFrame, depth: int
 def finished_sites(log: DataFrame, line: str) -> DataFrame:
     """Sites named by ``SiteDone:`` lines of a crawl log."""
     return log.select(F.regexp_extract(line, r"SiteDone:\s*(\S+)", 1).alias("host")).filter("host <> ''").distinct()
+
+
+def save_queue(state: dict[str, DataFrame], path: str) -> None:
+    """Write the parts of a crawl's state (frontier, seen hashes, counters, filters ...) as one folder each; a
+    state saved before is replaced."""
+    for name, part in state.items():
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_queue(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The parts of a saved state."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def take_turns(frontier: DataFrame, site: str, order: list[str], counters: DataFrame, pending: int = 2) -> DataFrame:
+    """The next URLs to ask for: each site in turn gives its oldest ones, at most ``pending`` a site less what it
+    waits for, and none once its errors end its crawl.
+
+    ``counters``: one row a site with ``waiting``, ``errors``, ``successes``, ``in_row``.  Sites without
+    counters have none of either.  ``turn`` numbers the round in which a URL is given out.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    open_ = stop_reason(zero("errors"), zero("successes"), zero("in_row"), F.lit(0), zero("successes")) == "Done"
+    sites = frontier.select(site).distinct().join(counters, site, "left").filter(open_).select(site, (F.lit(pending) - zero("waiting")).alias("_free")).filter("_free > 0")
+    # minima leave each task before the shuffle: no window sees a whole site
+    row = F.struct(*order, *[c for c in frontier.columns if c not in order])
+    first = _smallest(frontier, site, row, pending)
+    given = first.join(sites, site).select(site, "_free", F.posexplode("_rows").alias("turn", "_row")).filter("turn < _free")
+    return given.select("turn", *[F.col(f"_row.{c}").alias(c) for c in frontier.columns])
+
+
+def _smallest(df: DataFrame, group: str, row: Column, n: int) -> DataFrame:
+    """The ``n`` smallest rows of each group, merged pairwise: no list grows beyond ``n``."""
+    first = df.groupBy(group).agg(F.min(row).alias("_m"))
+    out = first.select(group, F.array("_m").alias("_rows"))
+    for _ in range(n - 1):
+        nxt = df.withColumn("_row", row).join(out.select(group, F.element_at("_rows", -1).alias("_last")), group).filter(F.col("_row") > F.col("_last")).groupBy(group).agg(F.min("_row").alias("_m"))
+        out = out.join(nxt, group, "left").select(group, F.when(F.col("_m").isNull(), F.col("_rows")).otherwise(F.concat("_rows", F.array("_m"))).alias("_rows"))
+    return out

@@ -7,11 +7,12 @@ every few rounds (``session.cut``), and one small action a round decides whether
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -87,6 +88,30 @@ def bfs(g: Graph, sources: DataFrame, depth: int | None = None) -> DataFrame:
     return seen
 
 
+def bfs_events(g: Graph, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """What a breadth-first search meets: ``event``, ``id`` (of a vertex) or ``eid``, ``src``, ``dst`` (of an
+    edge), and ``level``.
+
+    Vertices: initialize (all), discover, examine and finish (those reached; with ``depth`` the last level is
+    discovered only).  Edges of examined vertices: examine, then tree (one for each vertex reached, from its
+    parent) or non_tree, whose target is gray (of the same level or the next) or black (of one before).
+    """
+    seen = cut(bfs(g, sources, depth))
+    nodes = g.vertices.select("id").distinct().join(seen, "id", "left")
+    last = F.lit(True) if depth is None else F.col("level") < depth
+    at = F.array_compact(F.array(F.lit("initialize_vertex"), *[F.when(F.col("level").isNotNull() & on, F.lit(e)) for e, on in (("discover_vertex", F.lit(True)), ("examine_vertex", last), ("finish_vertex", last))]))
+    none = F.lit(None).cast("bigint")
+    of_nodes = nodes.select(F.explode(at).alias("event"), "id", none.alias("eid"), none.alias("src"), none.alias("dst"), "level")
+    from_ = seen.filter(last).select(F.col("id").alias("src"), F.col("level").alias("ls"))
+    to = seen.select(F.col("id").alias("dst"), F.col("level").alias("ld"), "parent")
+    arcs = g.arcs().select("eid", "src", "dst").join(from_, "src").join(to, "dst")
+    # of parallel edges from the parent one is the tree's
+    arcs = arcs.withColumn("copy", F.row_number().over(Window.partitionBy("src", "dst").orderBy("eid")))
+    tree = (F.col("src") == F.col("parent")) & (F.col("copy") == 1)
+    kinds = F.when(F.coalesce(tree, F.lit(False)), F.array(F.lit("examine_edge"), F.lit("tree_edge"))).otherwise(F.array(F.lit("examine_edge"), F.lit("non_tree_edge"), F.when(F.col("ld") >= F.col("ls"), "gray_target").otherwise("black_target")))
+    return of_nodes.unionByName(arcs.select(F.explode(kinds).alias("event"), none.alias("id"), "eid", "src", "dst", F.col("ls").alias("level")))
+
+
 def st_connected(g: Graph, s: int, t: int) -> bool:
     """Whether an undirected path joins ``s`` and ``t`` (a vertex is joined with itself); bidirectional."""
     if s == t:
@@ -250,24 +275,72 @@ def spanning_forest(g: Graph, weight: str = "weight", local: bool = False) -> Da
     parallel edges are dropped, until no edge is left.  ``local`` lets each partition first drop the
     edges that close a cycle of its own cheaper ones, which pays on dense graphs; the forest is the same.
     """
-    spark = g.vertices.sparkSession
+    chosen, _ = _boruvka(g, weight, local)
+    return g.edges.join(chosen, "eid", "left_semi")
+
+
+def _boruvka(g: Graph, weight: str, local: bool, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ids of the edges chosen by so many rounds, and the edges left between components."""
     order = F.struct(F.col("w"), F.col("eid"))
     now = cut(g.edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col(weight).alias("w"), "eid"))
-    if local:
-        now = cut(now.mapInArrow(_local_forest, now.schema))
-    chosen = spark.createDataFrame([], "eid bigint")
-    while not now.isEmpty():
-        ends = now.select(F.explode(F.array("a", "b")).alias("c"), "a", "b", "w", "eid")
-        best = ends.groupBy("c").agg(F.min_by(F.struct("a", "b", "eid"), order).alias("e")).select("e.a", "e.b", "e.eid").distinct()
-        best = cut(best)
-        chosen = cut(chosen.unionByName(best.select("eid")))
-        merged = connected_components(Graph.from_edges(best.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        merged = cut(merged)
-        a = merged.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        b = merged.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    picked: list[DataFrame] = []
+    while not now.isEmpty() and (rounds is None or len(picked) < rounds):
+        if local:
+            now = cut(now.mapInArrow(_local_forest, now.schema))
+        ends = now.select(F.inline(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o"), "w", "eid"), F.struct(F.col("b").alias("c"), F.col("a").alias("o"), "w", "eid"))))
+        best = cut(ends.groupBy("c").agg(F.min_by(F.struct("o", "eid"), order).alias("e")).select("c", F.col("e.o").alias("up"), F.col("e.eid").alias("eid")))
+        picked.append(best.select("eid"))
+        merged = _roots(best)
+        a = merged.select(F.col("c").alias("a"), F.col("up").alias("ca"))
+        b = merged.select(F.col("c").alias("b"), F.col("up").alias("cb"))
         nxt = now.join(a, "a").join(b, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w", "eid")
         now = cut(nxt.groupBy("a", "b").agg(F.min(order).alias("m")).select("a", "b", "m.w", "m.eid"))
-    return g.edges.join(chosen, "eid", "left_semi")
+    none = g.vertices.sparkSession.createDataFrame([], "eid bigint")
+    return reduce(DataFrame.unionByName, picked, none).distinct(), now
+
+
+def _roots(best: DataFrame) -> DataFrame:
+    """``c`` and ``up``, the vertex that stands for its tree, by pointer jumping along the chosen edges.
+
+    In each tree just one edge is chosen by both its ends (the smallest); the smaller end is the root.
+    """
+    back = best.select(F.col("c").alias("up"), F.col("up").alias("there"))
+    now = cut(best.join(back, "up").select("c", F.when((F.col("there") == F.col("c")) & (F.col("c") < F.col("up")), F.col("c")).otherwise(F.col("up")).alias("up")))
+    while True:
+        over = now.select(F.col("c").alias("up"), F.col("up").alias("top"))
+        new = cut(now.join(over, "up").select("c", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        now = new.select("c", "up")
+        if new.filter("moved").isEmpty():
+            return now
+
+
+def merged_local_forests(g: Graph, weight: str = "weight", degree: int = 3, parts: int | None = None) -> DataFrame:
+    """The minimum spanning forest by merging local forests along a tree of the given degree.
+
+    Each partition keeps its own forest; then ``degree`` partitions at a time are put together, until one
+    is left.  The last task holds at most a forest, an edge less than there are vertices: this pays on dense
+    graphs and needs the vertices' number to fit a task; ``spanning_forest`` doesn't.
+    """
+    now = g.edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col(weight).alias("w"), "eid")
+    n = parts or now.rdd.getNumPartitions()
+    now = now.repartition(n, "eid").mapInArrow(_local_forest, now.schema)
+    while n > 1:
+        n = -(-n // degree)
+        now = cut(now).repartition(n, "eid").mapInArrow(_local_forest, now.schema)
+    return g.edges.join(cut(now).select("eid"), "eid", "left_semi")
+
+
+def boruvka_then_merge(g: Graph, weight: str = "weight", rounds: int = 1, degree: int = 3) -> DataFrame:
+    """The forest by some Boruvka rounds, which shrink the vertices, and merging of local forests behind them."""
+    chosen, left = _boruvka(g, weight, False, rounds)
+    rest = Graph.from_edges(left.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w", "eid"), eid="eid", directed=False)
+    last = merged_local_forests(rest, "w", degree)
+    return g.edges.join(cut(chosen.unionByName(last.select("eid"))), "eid", "left_semi")
+
+
+def boruvka_mixed_merge(g: Graph, weight: str = "weight") -> DataFrame:
+    """The forest by Boruvka rounds, each behind a round of local forests."""
+    return spanning_forest(g, weight, local=True)
 
 
 def colouring(g: Graph) -> DataFrame:

@@ -31,17 +31,26 @@ def max_with_ties(df: DataFrame, value: str) -> DataFrame:
     return df.join(F.broadcast(top), F.col(value) == F.col("_top")).drop("_top")
 
 
-def prefix_scan(df: DataFrame, value: str, order: str, out: str) -> DataFrame:
-    """Running sum by ``order`` without a single-task window: range partitions are summed first."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).persist()
-    sums = sorted((r["_p"], r["s"] or 0) for r in parts.groupBy("_p").agg(F.sum(value).alias("s")).collect())
-    base, rows = 0, []
-    for p, s in sums:
-        rows.append((p, base))
-        base += s
-    start = df.sparkSession.createDataFrame(rows, "_p int, _base bigint") if rows else df.sparkSession.createDataFrame([], "_p int, _base bigint")
-    w = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return parts.withColumn(out, F.sum(value).over(w)).join(F.broadcast(start), "_p").withColumn(out, F.col(out) + F.col("_base")).drop("_p", "_base")
+def prefix_scan(df: DataFrame, value: str, order: str, out: str, group: str | None = None, upto: bool = True) -> DataFrame:
+    """Running sum by ``order`` (within ``group``) without a single-task window: range partitions are
+    summed first.  ``upto`` tells whether a row's own value is in its sum.
+
+    The driver holds one row for each partition, and for each group that begins or goes on in it.
+    """
+    spark = df.sparkSession
+    by = [group] if group else []
+    parts = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order).withColumn("_p", F.spark_partition_id()).persist()
+    rows, base = [], {}
+    for r in sorted(parts.groupBy("_p", *by).agg(F.sum(value).alias("s")).collect(), key=lambda r: r["_p"]):
+        g = r[group] if group else 0
+        rows.append((r["_p"], g, base.get(g, 0)))
+        base[g] = base.get(g, 0) + (r["s"] or 0)
+    kind = dict(df.dtypes)[group] if group else "int"
+    start = spark.createDataFrame(rows, f"_p int, _g {kind}, _base bigint")
+    w = Window.partitionBy("_p", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if upto else -1)
+    same = (F.col("_p") == F.col("q")) & (F.col(group).eqNullSafe(F.col("_g")) if group else F.lit(True))
+    summed = parts.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0))).join(F.broadcast(start.withColumnRenamed("_p", "q")), same)
+    return summed.withColumn(out, F.col(out) + F.col("_base")).select(*df.columns, out)
 
 
 def link_lists(links: DataFrame, src: str, dst: str, most: int | None = None) -> DataFrame:
@@ -59,8 +68,12 @@ def back_links(links: DataFrame, src: str, dst: str) -> DataFrame:
 def list_offsets(lists: DataFrame) -> DataFrame:
     """``src`` and the byte offset of its list in the file of its bucket: 16 bytes and 8 for each dest."""
     rows = lists.select("src", U.bucket(F.col("src")).alias("bucket"), (F.lit(16) + 8 * F.col("n")).cast("bigint").alias("bytes"))
-    w = Window.partitionBy("bucket").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("src", "bucket", F.coalesce(F.sum("bytes").over(w), F.lit(0)).alias("offset"))
+    return prefix_scan(rows, "bytes", "src", "offset", "bucket", False).select("src", "bucket", "offset")
+
+
+def fetch_lists(lists: DataFrame, offsets: DataFrame, asked: DataFrame) -> DataFrame:
+    """The lists that stand at the asked places (``bucket``, ``offset``) of the files."""
+    return lists.join(offsets.join(asked, ["bucket", "offset"], "left_semi").select("src"), "src", "left_semi")
 
 
 def seen_set(urls: DataFrame, group: str, hashed: Column, order: str) -> DataFrame:

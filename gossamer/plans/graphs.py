@@ -49,6 +49,11 @@ def dangling_fixpoint(spark, d):
     return iterative.remove_dangling(T.trade(spark, d)).edges.select("src", "dst")
 
 
+def dangling_links(spark, d):
+    """Links left when pages without links are taken out until all have some."""
+    return iterative.remove_dangling(T.links(spark, d)).edges.select("eid", "src", "dst")
+
+
 def _start(g: Graph):
     return g.vertices.agg(F.min("id").alias("id"))
 
@@ -72,10 +77,16 @@ def multi_source_bfs(spark, d):
 def subgraph_extract(spark, d):
     """Edges inside the neighbourhood of depth 3 around the heaviest edges' ends."""
     g = T.weighted_links(spark, d)
-    near = iterative.bfs(g, R.max_with_ties(g.edges.filter("src <> dst"), "weight").select(F.col("src").alias("id")), 1)
+    near = iterative.bfs(g, R.max_with_ties(g.edges.filter("src <> dst"), "weight").select(F.col("src").alias("id")), DEPTH)
     return Graph(near.select("id"), g.edges).filtered(vertex=F.lit(True)).edges.select("eid", "src", "dst", "weight")
 
 
+def bfs_events(spark, d):
+    """How often each event of a breadth-first search occurs."""
+    g = T.links(spark, d)
+    return iterative.bfs_events(g, _start(g)).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
 def st_connected(spark, d):
     """Whether the smallest and the largest vertex are joined."""
     g = T.links(spark, d)
@@ -128,6 +139,18 @@ def mst_local_filter(spark, d):
     return iterative.spanning_forest(Graph(g.vertices, g.edges, False), local=True).select("eid", "src", "dst", "weight")
 
 
+def mst_links(spark, d):
+    """The edges of the spanning forest of all links."""
+    g = T.weighted_links(spark, d)
+    return iterative.spanning_forest(Graph(g.vertices, g.edges, False)).select("eid", "src", "dst", "weight")
+
+
+def mst_merged(spark, d):
+    """The same by Boruvka rounds and the merging of local forests."""
+    g = T.weighted_links(spark, d)
+    return iterative.boruvka_then_merge(Graph(g.vertices, g.edges, False)).select("eid", "src", "dst", "weight")
+
+
 def site_ranks(spark, d):
     """Sites in order of their rank in the site graph."""
     return iterative.page_rank(T.site_graph(spark, d), 10).select("id", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "id")
@@ -155,6 +178,20 @@ def articulation(spark, d):
     return iterative.articulation_points(g, iterative.biconnected_components(g))
 
 
+def _undirected(g: Graph) -> Graph:
+    return Graph(g.vertices, g.edges, False)
+
+
+def biconnected_links(spark, d):
+    return iterative.biconnected_components(_undirected(T.links(spark, d)))
+
+
+def articulation_links(spark, d):
+    """Pages that hold parts of the web together."""
+    g = _undirected(T.links(spark, d))
+    return iterative.articulation_points(g, iterative.biconnected_components(g))
+
+
 def betweenness_exact(spark, d):
     return centrality.betweenness(T.trade(spark, d)).select("id", F.round("centrality", 6).alias("centrality"))
 
@@ -241,6 +278,14 @@ def collapsed_graph(spark, d):
     return j.filter("a <> b").select("a", "b").distinct()
 
 
+def collapsed_links(spark, d):
+    """Links between the strong components of the page graph."""
+    g = T.links(spark, d)
+    c = iterative.strong_components(g)
+    j = g.edges.join(c.withColumnsRenamed({"id": "src", "component": "a"}), "src").join(c.withColumnsRenamed({"id": "dst", "component": "b"}), "dst")
+    return j.filter("a <> b").select("a", "b").distinct()
+
+
 def mesh_degrees(spark, d):
     """Degrees of a 40 x 25 grid and of its torus."""
     one = lambda torus: Graph.from_edges(generators.mesh(spark, 40, 25, torus), eid="eid", directed=False).degrees().groupBy("degree").agg(F.count(F.lit(1)).alias("n")).withColumn("torus", F.lit(torus))
@@ -293,7 +338,7 @@ QUERIES = {
         pagerank_links, pagerank_trade, degree_hist, degree_all, undirected_degree, dangling_fixpoint, bfs_levels, bfs_depth_limited, multi_source_bfs, subgraph_extract, st_connected, cc_min_label, cc_count,
         scc_min_label, scc_links, sssp_trade, sssp_links, mst_forest, mst_local_filter, mst_links_weight, site_ranks, colours_used, coloring_conflicts, biconnected, articulation, betweenness_exact, betweenness_replicated, betweenness_weighted,
         betweenness_sources, edge_betweenness, central_point_dominance, max_centrality, depth_first, force_layout, site_links, max_weight_edges, edge_filter_mod8, reverse_edges, local_edges, vertex_index,
-        vertex_removal, graph_counts, collapsed_graph, mesh_degrees, rmat_components,
+        vertex_removal, graph_counts, collapsed_graph, mesh_degrees, rmat_components, bfs_events, dangling_links, mst_links, mst_merged, biconnected_links, articulation_links, collapsed_links,
     )
 }
 
@@ -309,8 +354,17 @@ SELECT src, dst FROM e WHERE dst IN (SELECT id FROM k WHERE n = 30)""",
     "bfs_levels": _reach(40) + " SELECT l.id, l.level, (SELECT min(e.src) FROM e JOIN l p ON p.id = e.src AND p.level = l.level - 1 WHERE e.dst = l.id) AS parent FROM l",
     "bfs_depth_limited": _reach(DEPTH) + " SELECT id, level FROM l",
     "multi_source_bfs": _reach(40).replace(f"SELECT min(id), 0 FROM ({V})", f"SELECT DISTINCT root_docid, 0 FROM queue_info WHERE root_docid IN ({V})") + " SELECT id, level FROM l",
-    "subgraph_extract": f"""WITH e AS MATERIALIZED ({WE}), s AS (SELECT DISTINCT src AS id FROM e WHERE src <> dst AND weight = (SELECT max(weight) FROM e WHERE src <> dst)),
-n AS MATERIALIZED (SELECT id FROM s UNION SELECT e.dst FROM e JOIN s ON e.src = s.id WHERE e.src <> e.dst) SELECT eid, src, dst, weight FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""",
+    "subgraph_extract": f"""WITH RECURSIVE e AS MATERIALIZED ({WE}), s AS (SELECT DISTINCT src AS id FROM e WHERE src <> dst AND weight = (SELECT max(weight) FROM e WHERE src <> dst)),
+r(id, level) AS (SELECT id, 0 FROM s UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id WHERE e.src <> e.dst AND r.level < {DEPTH}),
+n AS MATERIALIZED (SELECT DISTINCT id FROM r) SELECT eid, src, dst, weight FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""",
+    "bfs_events": _reach(40) + f""", x AS MATERIALIZED (SELECT a.level AS ls, b.level AS ld FROM ({T.E}) y JOIN l a ON a.id = y.src JOIN l b ON b.id = y.dst), t AS (SELECT count(*) AS n FROM l WHERE level > 0)
+SELECT 'initialize_vertex' AS event, count(*) AS n FROM ({V}) UNION ALL SELECT unnest(['discover_vertex', 'examine_vertex', 'finish_vertex']), (SELECT count(*) FROM l)
+UNION ALL SELECT 'examine_edge', count(*) FROM x UNION ALL SELECT 'tree_edge', n FROM t UNION ALL SELECT 'non_tree_edge', (SELECT count(*) FROM x) - n FROM t
+UNION ALL SELECT 'gray_target', (SELECT count(*) FROM x WHERE ld >= ls) - n FROM t UNION ALL SELECT 'black_target', count(*) FROM x WHERE ld < ls""",
+    "dangling_links": f"""WITH RECURSIVE e AS MATERIALIZED ({T.E}), p AS MATERIALIZED (SELECT DISTINCT src, dst FROM e),
+r(a, b) AS (SELECT src, dst FROM p UNION SELECT r.a, p.dst FROM r JOIN p ON r.b = p.src), c AS (SELECT DISTINCT a AS id FROM r WHERE a = b),
+k AS MATERIALIZED (SELECT id FROM c UNION SELECT a FROM r WHERE b IN (SELECT id FROM c)) SELECT eid, src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)""",
+    "collapsed_links": f"WITH c AS MATERIALIZED ({SCC.format(edges=T.E, vertices=V)}) SELECT DISTINCT x.component AS a, y.component AS b FROM ({T.E}) e JOIN c x ON e.src = x.id JOIN c y ON e.dst = y.id WHERE x.component <> y.component",
     "st_connected": CC.replace("SELECT id, component FROM c", f"SELECT s, t, (SELECT component FROM c WHERE id = s) = (SELECT component FROM c WHERE id = t) AS connected FROM (SELECT min(id) AS s, max(id) AS t FROM ({V}))"),
     "cc_min_label": CC,
     "cc_count": CC.replace("SELECT id, component FROM c", "SELECT count(DISTINCT component) AS components FROM c"),

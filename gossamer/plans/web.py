@@ -8,7 +8,7 @@ from ..functions import html as H
 from ..functions import url as U
 from ..operators import crawl as C
 from ..operators import relational as R
-from ..session import table
+from ..session import once_each, table
 from ..streaming import jobs
 
 PREFIXES, SUBSTRINGS = ["/cgi", "/z"], ["sid=", "calendar"]
@@ -16,8 +16,14 @@ QUERY = '"link" pages'
 
 
 def _pages(spark, d):
-    """Pages once each: a request delivered twice counts once."""
-    return table(spark, d, "responses").dropDuplicates(["request_id"])
+    """Pages once each: a request delivered twice counts once.  Page bodies aren't shuffled."""
+    return once_each(table(spark, d, "responses"), "request_id")
+
+
+def _fetches(spark, d):
+    """The narrow columns of the pages, once each."""
+    narrow = table(spark, d, "responses").withColumn("stored", F.col("page").isNotNull()).drop("page")
+    return narrow.dropDuplicates(["request_id"])
 
 
 def url_parse(spark, d):
@@ -62,7 +68,7 @@ def id_forms(spark, d):
 
 
 def links_extract(spark, d):
-    return _pages(spark, d).filter("page IS NOT NULL").select("request_id", F.explode(H.links(F.col("page"))).alias("l")).select("request_id", "l.pos", "l.tag", "l.link")
+    return _pages(spark, d).filter("page IS NOT NULL").select("request_id", H.exploded(H.links(F.col("page"))).alias("l")).filter("l IS NOT NULL").select("request_id", "l.pos", "l.tag", "l.link")
 
 
 def links_resolved(spark, d):
@@ -73,8 +79,8 @@ def links_resolved(spark, d):
 def followed_inside(spark, d):
     """Links that stay on a server of their page's site."""
     names = table(spark, d, "queue_info").select("queue_id", "site_names")
-    pages = _pages(spark, d)
-    l = H.page_links(pages, "request_id", "page_url", "page").join(pages.select("request_id", "queue_id"), "request_id").join(F.broadcast(names), "queue_id")
+    site = _fetches(spark, d).select("request_id", "queue_id")
+    l = H.page_links(_pages(spark, d), "request_id", "page_url", "page").join(site, "request_id").join(names, "queue_id")
     return l.filter(C.same_server(U.parse(F.col("target"))["net_loc"], F.col("site_names"))).groupBy("queue_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -117,6 +123,21 @@ def list_offsets(spark, d):
     return R.list_offsets(fwd_links(spark, d))
 
 
+def list_fetch(spark, d):
+    """The link lists of the sites' roots, read by the offsets of their lists."""
+    lists = fwd_links(spark, d)
+    offsets = R.list_offsets(lists)
+    roots = table(spark, d, "queue_info").select(F.col("root_docid").alias("src")).filter("src IS NOT NULL").distinct()
+    asked = offsets.join(roots, "src", "left_semi").select("bucket", "offset")
+    return R.fetch_lists(lists, offsets, asked)
+
+
+def host_words(spark, d):
+    """Host names in small ASCII letters and cut at dots and slashes, empty fields kept."""
+    h = table(spark, d, "hosts").filter("hostname IS NOT NULL")
+    return h.select("hid", H.ascii_lower(F.col("hostname")).alias("lower"), H.split_fields(F.col("hostname"), "./").alias("fields"), H.split_nonempty(F.col("hostname"), "./").alias("words"))
+
+
 def valid_ids(spark, d):
     """Edges whose ids are valid: above 10000 or negative."""
     ok = lambda c: (F.col(c) > 10000) | (F.col(c) < 0)
@@ -127,7 +148,7 @@ def link_lookup(spark, d):
     """Addresses that link to a site's root, found through the ids."""
     page = table(spark, d, "responses").filter("page_url IS NOT NULL").groupBy("docid").agg(F.min("page_url").alias("url"))
     roots = table(spark, d, "queue_info").select("queue_id", "root_docid")
-    hits = table(spark, d, "edges").join(F.broadcast(roots), F.col("to_id") == F.col("root_docid")).select("queue_id", "from_id").distinct()
+    hits = table(spark, d, "edges").join(roots, F.col("to_id") == F.col("root_docid")).select("queue_id", "from_id").distinct()
     return hits.join(page, hits.from_id == page.docid).select("queue_id", "from_id", "url")
 
 
@@ -147,15 +168,15 @@ def seen_set(spark, d):
 
 
 def prefix_scan(spark, d):
-    return R.prefix_scan(_pages(spark, d).select("request_id", F.coalesce("page_size", F.lit(0)).cast("bigint").alias("page_size")), "page_size", "request_id", "upto").select("request_id", "upto")
+    return R.prefix_scan(_fetches(spark, d).select("request_id", F.coalesce("page_size", F.lit(0)).cast("bigint").alias("page_size")), "page_size", "request_id", "upto").select("request_id", "upto")
 
 
 def crawl_status_totals(spark, d):
-    return C.status_totals(_pages(spark, d), ["queue_id"], "page_size", "crawled_time")
+    return C.status_totals(_fetches(spark, d), ["queue_id"], "page_size", "crawled_time")
 
 
 def consecutive_errors(spark, d):
-    return R.consecutive_errors(_pages(spark, d), "queue_id", ["crawled_time", "request_id"], F.col("error_code") < 0)
+    return R.consecutive_errors(_fetches(spark, d), "queue_id", ["crawled_time", "request_id"], F.col("error_code") < 0)
 
 
 def hourly_status(spark, d):
@@ -233,11 +254,11 @@ def title_rank(spark, d):
 
 def page_sizes_by_day(spark, d):
     """Bytes and pages of 8 January."""
-    return _pages(spark, d).filter("month(crawled_time) = 1 AND day(crawled_time) = 8").agg(F.coalesce(F.sum("page_size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("pages"))
+    return _fetches(spark, d).filter("month(crawled_time) = 1 AND day(crawled_time) = 8").agg(F.coalesce(F.sum("page_size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("pages"))
 
 
 def site_pages(spark, d):
-    return _pages(spark, d).groupBy("queue_id").agg(F.count(F.lit(1)).alias("num_pages"), F.count("page").alias("stored_pages"))
+    return _fetches(spark, d).groupBy("queue_id").agg(F.count(F.lit(1)).alias("num_pages"), F.count_if("stored").alias("stored_pages"))
 
 
 def file_groups(spark, d):
@@ -253,7 +274,7 @@ def bulk_load(spark, d):
 
 def dump_urls(spark, d):
     """Addresses of the store from an offset on, at most so many: the dump tool's own arguments."""
-    return _pages(spark, d).filter("request_id >= 20").orderBy("request_id").limit(50).select("request_id", "page_url")
+    return _fetches(spark, d).filter("request_id >= 20").orderBy("request_id").limit(50).select("request_id", "page_url")
 
 
 def uncrawled_hosts(spark, d):
@@ -283,7 +304,7 @@ def pair_sort(spark, d):
 
 
 def throughput(spark, d):
-    return R.throughput(_pages(spark, d), "crawled_time", "page_size").select(F.col("start").cast("string").alias("start"), "total", "change")
+    return R.throughput(_fetches(spark, d), "crawled_time", "page_size").select(F.col("start").cast("string").alias("start"), "total", "change")
 
 
 def stream_diff(spark, d):
@@ -302,7 +323,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_parse, url_canonical, ext_type, url_fields, url_filter_code, url_hashes, reverse_host, id_forms, links_extract, links_resolved, followed_inside, html_plain, html_inline, html_entities, robots_rules,
-        host_counts, fwd_links, fwd_links_256, back_links, list_offsets, valid_ids, link_lookup, sort_unique_merge, dedupe_consecutive, seen_set, prefix_scan, crawl_status_totals, consecutive_errors,
+        host_counts, fwd_links, fwd_links_256, back_links, list_offsets, list_fetch, host_words, valid_ids, link_lookup, sort_unique_merge, dedupe_consecutive, seen_set, prefix_scan, crawl_status_totals, consecutive_errors,
         hourly_status, first_ip, next_site, claim_site, alias_merge, alias_prune, host_lookup, stop_reasons, crawl_simulation, politeness, conjunctive_search, title_rank, page_sizes_by_day, site_pages,
         file_groups, bulk_load, dump_urls, uncrawled_hosts, ending_links, put_aside, alias_totals, pair_sort, throughput, stream_diff, site_numbers,
     )
@@ -365,6 +386,8 @@ WHEN coalesce(seed_level, 0) > 4 THEN 4 WHEN seed_id >= 5 THEN 5 ELSE 0 END AS c
     "fwd_links_256": f"SELECT src, CAST(n AS INTEGER) AS n, dests FROM ({LISTS}) WHERE n <= 256",
     "back_links": f"SELECT {BUCKET.format(x='to_id')} AS bucket, to_id AS src, from_id AS dst FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL",
     "list_offsets": f"SELECT src, bucket, CAST(coalesce(sum(bytes) OVER (PARTITION BY bucket ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT src, {BUCKET.format(x='src')} AS bucket, 16 + 8 * n AS bytes FROM ({LISTS}))",
+    "list_fetch": f"SELECT src, CAST(n AS INTEGER) AS n, dests FROM ({LISTS}) WHERE src IN (SELECT root_docid FROM queue_info)",
+    "host_words": "SELECT hid, translate(hostname, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower, regexp_split_to_array(hostname, '[./]') AS fields, list_filter(regexp_split_to_array(hostname, '[./]'), lambda x: x <> '') AS words FROM hosts WHERE hostname IS NOT NULL",
     "valid_ids": "SELECT edge_id FROM edges WHERE (from_id > 10000 OR from_id < 0) AND (to_id > 10000 OR to_id < 0)",
     "link_lookup": "SELECT DISTINCT queue_id, from_id, url FROM edges JOIN queue_info ON to_id = root_docid JOIN (SELECT docid, min(page_url) AS url FROM responses WHERE page_url IS NOT NULL GROUP BY docid) ON from_id = docid",
     "sort_unique_merge": "SELECT DISTINCT from_id, to_id FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL",

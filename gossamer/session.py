@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Repeated keys that may be sent to every task (16 MB with their places); beyond it they are joined.
+MAX_SENT_KEYS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +54,17 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     writer = df.write
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once_each(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a table in files, a repeated ``key`` only at its first place.
+
+    Only keys and places are grouped; the few repeated keys are written and sent to the tasks that read the
+    rows, so no wide column is shuffled while they are within ``MAX_SENT_KEYS``.  Rows with a null key stay.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    keys = df.select(key, place.alias("_place")).groupBy(key).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    twice = written(keys.filter("_c > 1").select(key, "_first"), "redelivered")
+    few = twice.count() <= MAX_SENT_KEYS  # from the written footers
+    marked = df.withColumn("_place", place).join(F.broadcast(twice) if few else twice, key, "left")
+    return marked.filter("_first IS NULL OR _place = _first").select(*df.columns)

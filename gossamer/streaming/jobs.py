@@ -30,11 +30,12 @@ def accumulate_links(stream: DataFrame, target: str, checkpoint: str):
     def merge(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
         new = R.back_links(batch, "from_id", "to_id").distinct()
-        try:
-            have = spark.read.parquet(target)
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            # only the batch's buckets are read: a folder each
+            buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most 64
+            have = spark.read.schema("src bigint, dst bigint, bucket int").parquet(target).filter(F.col("bucket").isin(buckets))
             new = new.join(have, ["bucket", "src", "dst"], "left_anti")
-        except Exception:  # noqa: BLE001 - no table yet
-            pass
         new.write.mode("append").partitionBy("bucket").parquet(target)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

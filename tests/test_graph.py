@@ -179,3 +179,30 @@ def test_empty_graph(spark):
     g = Graph.empty(spark, 0)
     assert iterative.page_rank(g, 2).isEmpty() and iterative.connected_components(g).isEmpty() and iterative.strong_components(g).isEmpty()
     assert iterative.colouring(g).isEmpty() and g.degrees().isEmpty()
+
+
+def test_search_events(spark):
+    e = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 3, 3), (2, 3, 4), (3, 0, 5), (0, 1, 6), (4, 0, 7), (1, 1, 8)], "src bigint, dst bigint, eid bigint")
+    g = Graph.from_edges(e, eid="eid")
+    source = spark.createDataFrame([(0,)], "id bigint")
+    got = iterative.bfs_events(g, source)
+    n = {r["event"]: r["count"] for r in got.groupBy("event").count().collect()}
+    assert n == {"initialize_vertex": 5, "discover_vertex": 4, "examine_vertex": 4, "finish_vertex": 4, "examine_edge": 7, "tree_edge": 3, "non_tree_edge": 4, "gray_target": 3, "black_target": 1}
+    assert sorted(r.eid for r in got.filter("event = 'tree_edge'").collect()) == [1, 2, 3]
+    shallow = iterative.bfs_events(g, source, 1)
+    assert shallow.filter("event = 'examine_vertex'").count() == 1 and shallow.filter("event = 'discover_vertex'").count() == 3
+
+
+def test_forests_merged_along_a_tree_are_the_same(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(60), rng.randrange(60), rng.randrange(5), k) for k in range(400)]
+    g = Graph.from_edges(spark.createDataFrame(rows, "src bigint, dst bigint, weight bigint, eid bigint"), eid="eid", directed=False)
+    want = {r.eid for r in iterative.spanning_forest(g).collect()}
+    assert {r.eid for r in iterative.merged_local_forests(g, parts=7).collect()} == want
+    assert {r.eid for r in iterative.boruvka_then_merge(g).collect()} == want == {r.eid for r in iterative.boruvka_mixed_merge(g).collect()}
+
+
+def test_edge_ids_are_the_same_on_every_run(spark):
+    e = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (None, 1)], "src bigint, dst bigint")
+    a, b = ({r.eid for r in Graph.from_edges(e.repartition(n)).edges.collect()} for n in (1, 3))
+    assert a == b and len(a) == 3

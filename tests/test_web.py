@@ -153,3 +153,41 @@ def test_crawl_tables(spark):
     assert {(r.hid, r.ipaddr) for r in C.first_addresses(un.select("hid"), ips).collect()} == {(1, "9.1.1.1"), (2, None)}
     log = spark.createDataFrame([("x SiteDone: a.com 3",), ("none",)], "line string")
     assert [r.host for r in C.finished_sites(log, "line").collect()] == ["a.com"]
+
+
+def test_rows_once_each(spark, tmp_path):
+    from gossamer.session import once_each
+
+    rows = [(k % 7, f"text {k % 7}") for k in range(20)] + [(None, "x"), (100, None)]
+    spark.createDataFrame(rows, "id bigint, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    got = once_each(spark.read.parquet(str(tmp_path / "t")), "id")
+    assert sorted(r.id for r in got.filter("id IS NOT NULL").collect()) == [0, 1, 2, 3, 4, 5, 6, 100] and got.columns == ["id", "text"]
+
+
+def test_running_sums_within_groups(spark):
+    rows = [(k, k % 3, k * 2) for k in range(100)]
+    df = spark.createDataFrame(rows, "k bigint, g int, v bigint").repartition(5)
+    got = {r.k: r.s for r in R.prefix_scan(df, "v", "k", "s", "g", False).collect()}
+    assert got == {k: sum(x * 2 for x in range(k) if x % 3 == k % 3) for k in range(100)}
+    assert {r.k: r.s for r in R.prefix_scan(df, "v", "k", "s").collect()} == {k: sum(2 * x for x in range(k + 1)) for k in range(100)}
+    assert R.prefix_scan(df.limit(0), "v", "k", "s").isEmpty()
+
+
+def test_sites_take_turns(spark):
+    urls = [(k, f"u{k}", k % 4) for k in range(20)]
+    df = spark.createDataFrame(urls, "at bigint, u string, site int")
+    counters = spark.createDataFrame([(0, 1, 0, 9, 0), (1, 2, 0, 9, 0), (2, 0, 8, 4, 0)], "site int, waiting int, errors int, successes int, in_row int")
+    got = {(r.site, r.turn, r.at) for r in C.take_turns(df, "site", ["at"], counters).collect()}
+    assert got == {(0, 0, 0), (3, 0, 3), (3, 1, 7)}
+
+
+def test_queue_state_is_kept(spark, tmp_path):
+    state = {"frontier": spark.createDataFrame([(1, "u")], "id bigint, u string"), "seen": spark.createDataFrame([], "h bigint")}
+    C.save_queue(state, str(tmp_path / "s"))
+    back = C.load_queue(spark, str(tmp_path / "s"), ["frontier", "seen"])
+    assert back["frontier"].collect() == state["frontier"].collect() and back["seen"].isEmpty()
+
+
+def test_fields_and_ascii_letters(spark):
+    r = spark.createDataFrame([(":a::b:", "ÄBc")], "a string, b string").select(H.split_fields(F.col("a"), ":").alias("f"), H.ascii_lower(F.col("b")).alias("l")).first()
+    assert r.f == ["", "a", "", "b", ""] and r.l == "Äbc"
