@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
