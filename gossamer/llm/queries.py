@@ -108,11 +108,25 @@ WITH l AS (
   SELECT DISTINCT request_id, queue_id, unnest(generate_series(0, len(string_split(page, chr(10))) - 1)) AS line_no, unnest(string_split(page, chr(10))) AS line
   FROM responses WHERE page IS NOT NULL AND queue_id IS NOT NULL),
 s AS (SELECT request_id, queue_id, line_no, trim(regexp_replace(regexp_replace(line, '<[^>]*>', '', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{B}]+', ' ', 'g')) AS shown FROM l),
-c AS (SELECT queue_id, shown FROM s WHERE regexp_matches(shown, '\p{L}') GROUP BY ALL HAVING count(DISTINCT request_id) >= 10)
-SELECT s.request_id, CAST(s.line_no AS INTEGER) AS line_no FROM s JOIN c USING (queue_id, shown)
-""".replace("\\\\", "\\")
+c AS (SELECT queue_id, shown, count(DISTINCT request_id) AS n FROM s WHERE regexp_matches(shown, '\p{L}') GROUP BY ALL HAVING n >= 10)
+"""
+P5_FOUND = P5 + "SELECT s.request_id, CAST(s.line_no AS INTEGER) AS line_no FROM s JOIN c USING (queue_id, shown)"
+P5_LINES = P5 + "SELECT queue_id, shown AS line, n FROM c"
+
+
+def _grams(table: str, key: str, n: int, joined: bool, where: str) -> str:
+    """Runs of ``n`` words, or of ``n`` joined letters and digits, of each text."""
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+    if joined:
+        return f"SELECT DISTINCT {key}, substr(j, k, {n}) AS g FROM (SELECT {key}, j, unnest(range(1, length(j) - {n} + 2)) AS k FROM (SELECT {key}, array_to_string({words}, '') AS j FROM {table} WHERE {where}) WHERE length(j) >= {n})"
+    return f"SELECT DISTINCT {key}, array_to_string(w[k:k + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n} + 2)) AS k FROM (SELECT {key}, {words} AS w FROM {table} WHERE {where}) WHERE len(w) >= {n})"
+
+
+P9 = " UNION ".join(
+    f"SELECT doc_id, item_id FROM ({_grams('documents', 'doc_id', n, zh, 'text IS NOT NULL')}) JOIN ({_grams('eval_items', 'item_id', n, zh, f'text IS NOT NULL AND (lang = {chr(39)}zh{chr(39)}) = {zh}')}) USING (g)" for n, zh in ((10, False), (20, True))
+)
 
 
 def oracle_sql() -> dict[str, str]:
     late = P2.split("UNION ALL")[0] + " AND entry_id > 0.8 * (SELECT max(entry_id) FROM url_queue)"
-    return {"p2_found": P2, "p2_new_batch": late, "p5_found": P5}
+    return {"p2_found": P2, "p2_new_batch": late, "p5_found": P5_FOUND, "p5_lines": P5_LINES, "p9_found": P9}
