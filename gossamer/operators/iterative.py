@@ -276,7 +276,12 @@ def spanning_forest(g: Graph, weight: str = "weight", local: bool = False) -> Da
     edges that close a cycle of its own cheaper ones, which pays on dense graphs; the forest is the same.
     """
     chosen, _ = _boruvka(g, weight, local)
-    return g.edges.join(chosen, "eid", "left_semi")
+    return _edges_of(g, chosen)
+
+
+def _edges_of(g: Graph, chosen: DataFrame) -> DataFrame:
+    """The chosen edges; rows with one ``eid`` are one edge delivered again."""
+    return g.edges.join(chosen, "eid", "left_semi").dropDuplicates(["eid"])
 
 
 def _boruvka(g: Graph, weight: str, local: bool, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -327,7 +332,7 @@ def merged_local_forests(g: Graph, weight: str = "weight", degree: int = 3, part
     while n > 1:
         n = -(-n // degree)
         now = cut(now).repartition(n, "eid").mapInArrow(_local_forest, now.schema)
-    return g.edges.join(cut(now).select("eid"), "eid", "left_semi")
+    return _edges_of(g, cut(now).select("eid"))
 
 
 def boruvka_then_merge(g: Graph, weight: str = "weight", rounds: int = 1, degree: int = 3) -> DataFrame:
@@ -335,7 +340,7 @@ def boruvka_then_merge(g: Graph, weight: str = "weight", rounds: int = 1, degree
     chosen, left = _boruvka(g, weight, False, rounds)
     rest = Graph.from_edges(left.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w", "eid"), eid="eid", directed=False)
     last = merged_local_forests(rest, "w", degree)
-    return g.edges.join(cut(chosen.unionByName(last.select("eid"))), "eid", "left_semi")
+    return _edges_of(g, cut(chosen.unionByName(last.select("eid"))))
 
 
 def boruvka_mixed_merge(g: Graph, weight: str = "weight") -> DataFrame:

@@ -42,10 +42,18 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert got == want
 
 
+#: Queries without SQL that find nothing in the smallest tables.
+EMPTY = {"articulation_links"}
+#: Those that keep rows delivered twice.
+AS_DELIVERED = {"p5_pages", "biconnected_links"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_other_queries_run(spark, name):
+def test_other_queries_give_distinct_rows(spark, name):
     df = QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+    rows = [repr(plain(tuple(r))) for r in df.collect()]
+    assert bool(rows) != (name in EMPTY)
+    assert len(rows) == len(set(rows)) or name in AS_DELIVERED
 
 
 def test_entry(spark):
