@@ -79,9 +79,9 @@ def test_host_form(spark, a, b, same):
     assert (r.a == r.b) == same
 
 
-@pytest.mark.parametrize("bits", [1 << 28, 0])
-def test_variant_groups(spark, monkeypatch, bits):
-    monkeypatch.setattr(variants, "MAX_BITS", bits)
+@pytest.mark.parametrize("rows_each", [1, 500_000])
+def test_variant_groups(spark, monkeypatch, rows_each):
+    monkeypatch.setattr(variants, "RANGE_ROWS", rows_each)
     rows = [(1, "A b"), (2, "a  B!"), (3, "ab"), (4, None), (5, None), (6, ""), (6, ""), (7, "--"), (8, "long " * 5000), (9, "LONG " * 5000), (2, "a  B!")] + [(100 + k, "hot key") for k in range(300)]
     df = spark.createDataFrame(rows, "id bigint, x string").withColumn("h", F.lit(1)).withColumn("form", F.lit("z")).repartition(4)
     got = {(r.tab, r.keep_id, r.dup_id) for r in variants.variant_groups([(df, "t", "id", variants.words(F.col("x")))]).collect()}

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gossamer.llm import article, garbled, lines, spam
+from gossamer.llm import article, garbled, lines, pages, spam
 
 from prose import PROSE
 
@@ -85,6 +85,7 @@ def test_summaries_lose_no_line_at_the_threshold():
 def test_repeated_lines_by_join(spark, monkeypatch):
     df = frame(spark, [(k, 1, f"same line\nown {k}") for k in range(12)])
     monkeypatch.setattr(lines, "MAX_SENT_LINES", 0)
+    monkeypatch.setattr(pages, "MAX_SENT_IDS", 0)
     assert {(r.request_id, r.line_no) for r in lines.repeated_line_numbers(df).collect()} == {(k, 0) for k in range(12)}
     assert {r.page for r in lines.without_repeated_lines(df).collect()} == {f"own {k}" for k in range(12)}
 
