@@ -155,9 +155,12 @@ def test_crawl_tables(spark):
     assert [r.host for r in C.finished_sites(log, "line").collect()] == ["a.com"]
 
 
-def test_rows_once_each(spark, tmp_path):
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_rows_once_each(spark, tmp_path, monkeypatch, sent):
+    from gossamer import session
     from gossamer.session import once_each
 
+    monkeypatch.setattr(session, "MAX_SENT_KEYS", sent)
     rows = [(k % 7, f"text {k % 7}") for k in range(20)] + [(None, "x"), (100, None)]
     spark.createDataFrame(rows, "id bigint, text string").repartition(3).write.parquet(str(tmp_path / "t"))
     got = once_each(spark.read.parquet(str(tmp_path / "t")), "id")
