@@ -47,14 +47,15 @@ ENOUGH = 50
 FORM_CHARS = 80
 BRANCH = re.compile(r"<(/?)(main|article|aside|footer|header|nav|section|form|div|td|th|title|script|style|noscript)\b([^>]*)>", re.I)
 ATTRIBUTE = re.compile(r"(class|id|width|colspan)\s*=\s*[\"']?([^\"'\s>]+)", re.I)
-FIRST_TEXT = re.compile(r"(?:\s|<[^>\n]*>)*")
+FIRST_TEXT = re.compile(r"(?:\s+|<[^>\n]*>)*")
 OPENED = re.compile(r"<([A-Za-z][\w-]*)")
 BODY = re.compile(r"<(?:body|html|!doctype|div|table|p)\b", re.I)
 SILENT = ("title", "script", "style", "noscript")
 #: Cells inside a content branch are its table rows, no branches.
 CELLS = ("td", "th")
-NAME = re.compile(r"(?:(?<![^\W\d_])|(?<=[぀-ヿ一-鿿：]))[A-Z][a-z]+")
+NAME = re.compile(r"[A-Z](?:(?<![^\W\d_].)|(?<=[぀-ヿ一-鿿：].))[a-z]+")
 NAMES = re.compile(r"(?:\b[A-Z]\. )*N(?: (?:[A-Z]\. )*N)*")
+DIGIT = re.compile(r"\d")
 CODED = re.compile(r"\w*\d\w*(?:[.\-/:]\w*\d\w*)*")
 DATE = re.compile(r"^\W*(?:[^\W\d_]{1,6}\W+)?\w{1,8}\W+\d{4}\W\d\d?\W\d\d?\W*$|^\W*\d{1,4}\W\d\d?\W\d{1,4}\W*$")
 STEP = re.compile(r"\s(?:>|&gt;|»|›|/)\s")
@@ -105,10 +106,12 @@ def branches_of_lines(page: str, wanted: list[bool]) -> list[tuple[str, str]]:
         if not ask:
             out.append(("", ""))
         else:
-            m = FIRST_TEXT.match(page, start, end)
-            leaf = _leaf(m.group()) if m.end() > start else ""
+            first, leaf = start, ""
+            if line[0] == "<" or line[0].isspace():
+                m = FIRST_TEXT.match(page, start, end)
+                first, leaf = m.end(), _leaf(m.group())
             # else no branch begins or ends inside the line
-            name = names[k] if k == last or at[k + 1] > end else names[bisect_right(at, m.end()) - 1]
+            name = names[k] if k == last or at[k + 1] > end else names[bisect_right(at, first) - 1]
             out.append((name, leaf))
         start = end + 1
     return out
@@ -153,7 +156,9 @@ def is_path(shown: str) -> bool:
 
 def form(shown: str, names: frozenset[str] = frozenset()) -> str:
     """A line with its numbers and names masked, but for the given ones."""
-    return NAMES.sub("N", NAME.sub(lambda m: m.group() if m.group() in names else "N", CODED.sub("0", shown)))
+    t = CODED.sub("0", shown) if DIGIT.search(shown) else shown
+    t = NAME.sub(lambda m: m.group() if m.group() in names else "N", t) if names else NAME.sub("N", t)
+    return NAMES.sub("N", t) if "N" in t else t
 
 
 def special_form(shown: str, names: frozenset[str]) -> str:
@@ -162,8 +167,10 @@ def special_form(shown: str, names: frozenset[str]) -> str:
         return "path"
     if len(shown) > FORM_CHARS:
         return ""
-    if DATE.match(shown):
+    if DIGIT.search(shown) and DATE.match(shown):
         return "date"
+    if not names:
+        return ""
     found = NAME.findall(shown)
     own = sum(x in names for x in found)
     return form(shown, names) if own and own < len(found) else ""
@@ -226,9 +233,9 @@ def _parse(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
                 continue
             got = here.setdefault(branch, [0.0, 0.0, []])
             got[0] += len(x)
-            got[1] += len(x) * math.log(max(n, 1))
             got[2].append(leaf)
             if n:
+                got[1] += len(x) * math.log(n)
                 continue
             special = special_form(x, names)
             # the site's name beside another one is told by the site, a path or date by its place

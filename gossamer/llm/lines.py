@@ -43,6 +43,15 @@ def digest(source: int, line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"), seed=source & 0xFFFFFFFF)
 
 
+def digests(source: int, lines: list[str]) -> list[bytes]:
+    """``digest`` of each line."""
+    try:
+        seed, of = source & 0xFFFFFFFF, xxhash.xxh3_128_digest
+        return [of(x, seed) for x in lines]  # text is hashed as UTF-8
+    except UnicodeEncodeError:  # half a surrogate pair
+        return [digest(source, x) for x in lines]
+
+
 def _first_half(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint64)[::2] if digests else np.zeros(0, np.uint64)
 
@@ -75,7 +84,7 @@ def _summaries(bits: int):
 
         for b in batches:
             for source, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = _first_half([digest(source, x) for x in set(shown_lines(page)) if LETTER.search(x)])
+                own = _first_half(digests(source, [x for x in set(shown_lines(page)) if LETTER.search(x)]))
                 prints.setdefault(source, []).append(own)
                 held += len(own)
             if held > 2_000_000:
@@ -145,7 +154,7 @@ def _candidate_counts(sent):
             for source, page, rid, again in zip(*(b.column(i).to_pylist() for i in range(4))):
                 lines = [x for x in set(shown_lines(page)) if LETTER.search(x)]
                 if wanted is not None:
-                    hit = _places(wanted, _first_half([digest(source, x) for x in lines])) >= 0
+                    hit = _places(wanted, _first_half(digests(source, lines))) >= 0
                     lines = [x for x, on in zip(lines, hit.tolist()) if on]
                 if again:
                     single += [(source, x, 0, rid) for x in lines]
@@ -217,7 +226,7 @@ class Sent:
         """The pages of each line within the source; 0 for a line that isn't confirmed."""
         if source is None or not lines or not len(self.h1):
             return [0] * len(lines)
-        both = np.frombuffer(b"".join([digest(source, x) for x in lines]), np.uint64).reshape(-1, 2)
+        both = np.frombuffer(b"".join(digests(source, lines)), np.uint64).reshape(-1, 2)
         at = _places(self.h1, both[:, 0])
         return np.where((at >= 0) & (self.h2[at] == both[:, 1]), self.n[at], 0).tolist()
 

@@ -51,22 +51,39 @@ LEAST_SIZE = 250
 PIECE = 6000
 
 ENTITY = re.compile(r"&#?\w+;")
-NUMBER = re.compile(r"\d+")
-NAME = re.compile(r"(?=[A-Z])(?:(?<![^\W\d_])|(?<=[぀-ヿ一-鿿]))[A-Z][a-z]+")
+# Patterns begin with the character that tells them, so that a search runs over all others.
+NUMBER = re.compile(r"\d\d*")
+NAME = re.compile(r"[A-Z](?:(?<![^\W\d_].)|(?<=[぀-ヿ一-鿿].))[a-z]+")
 #: File names, addresses and options are no prose either way.
 CODE = re.compile(r"(?<!\S)(?:--\w+|[^\s<>]*\w[./=]\w[^\s<>]*)")
+#: What each of them holds.
+CODE_SIGN = re.compile(r"[./=\-](?:(?<=\w[./=])(?=\w)|(?<=-)(?=-))")
 #: Letters that say as much as three of an alphabet.
 WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]")
 #: Scripts that write no sentence mark part sentences by blanks: a long run before one counts as an end.
 END = re.compile(r"[.!?…؟۔](?<!\d[.!?…])[)”\"»“]*(?=\s|$)")
 END_WIDE = re.compile(r"[。！？｡।॥։።፧။។៕]")
 END_RUN = re.compile(r"[฀-໿က-႟ក-៿]{18}(?=\s|$)")
+#: What ``END`` and a letter count don't tell.
+OTHER = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣。！？｡।॥։።፧။។៕฀-໿က-႟ក-៿]")
 LOOSE = "#[];|*•·"
 DASH = re.compile(r"(?<!\S)-(?=\s)")
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
 #: All bytes but letters and the mask of names.
 NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127 or b == ord("N"))
 HANGUL = re.compile(r"[가-힣]")
+ASCII = np.arange(128, dtype=np.uint8)
+
+
+def _without_code(text: str) -> str:
+    """``text``, whose words are parted by single blanks, without what ``CODE`` finds."""
+    out, at = [], 0
+    for m in CODE_SIGN.finditer(text):
+        start = text.rfind(" ", 0, m.start()) + 1
+        if start >= at and (code := CODE.match(text, start)):
+            out.append(text[at:start])
+            at = code.end()
+    return " ".join("".join([*out, text[at:]]).split()) if out else text
 
 
 def masked(text: str, known: frozenset[str] = frozenset()) -> str:
@@ -74,14 +91,15 @@ def masked(text: str, known: frozenset[str] = frozenset()) -> str:
 
     Capitalised words in ``known`` (those a page repeats) are words, not names.
     """
-    t = NUMBER.sub("0", CODE.sub("", ENTITY.sub("·", text)))
-    t = NAME.sub(lambda m: m.group() if m.group() in known else "N", t) if known else NAME.sub("N", t)
-    return " ".join(t.split())
+    t = " ".join(text.split())
+    t = _without_code(ENTITY.sub("·", t) if "&" in t else t)
+    t = NUMBER.sub("0", t)
+    return NAME.sub(lambda m: m.group() if m.group() in known else "N", t) if known else NAME.sub("N", t)
 
 
 def repeated_words(own: list[str]) -> frozenset[str]:
     """Capitalised words that stand at least three times on a page."""
-    count = Counter(w for s in own for w in NAME.findall(s))
+    count = Counter(NAME.findall("\n".join(own)))
     return frozenset(w for w, n in count.items() if n > 2)
 
 
@@ -123,15 +141,13 @@ def units(text: str) -> bytes:
     if HANGUL.search(text):
         text = unicodedata.normalize("NFD", text)
     codes = _codes(text)
-    there = np.zeros(65536, bool)
-    there[codes] = True
-    own = np.flatnonzero(there)
-    plain = int(np.searchsorted(own, 128))
-    if len(own) - plain > 128 or wide(text) > len(text) / 4:
+    there = map(ord, set(text)) if len(codes) == len(text) else set(codes.tolist())
+    own = sorted(k for k in there if k > 127)
+    if len(own) > 128 or wide(text) > len(text) / 4:
         return codes.tobytes()
     byte = np.zeros(65536, np.uint8)
-    byte[own[:plain]] = own[:plain]
-    byte[own[plain:]] = 128 + np.arange(len(own) - plain)
+    byte[:128] = ASCII
+    byte[own] = range(128, 128 + len(own))
     return byte[codes].tobytes()
 
 
@@ -167,8 +183,9 @@ def blocks(own: list[str]) -> list[tuple[str, float]]:
     """
     out: list[list] = []
     kind = None
+    other = OTHER.search("\n".join(own))
     for s in own:
-        n, size = ends(s), len(s) + 2 * wide(s)
+        n, size = (ends(s), len(s) + 2 * wide(s)) if other else (len(END.findall(s)), len(s))
         now = 100 * n >= SENTENCES * size
         if now != kind:
             out.append([[], 0, 0])

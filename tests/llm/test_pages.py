@@ -177,3 +177,40 @@ def test_text_of_any_language_is_restored(wrong):
     table = {b: c for c, b in garbled._byte_of(wrong).items()}
     texts = [t for t in PROSE.values() if not t.isascii() and all(b in table for b in t.encode())]
     assert len(texts) > 30 and all(garbled.mend_line("".join(table[b] for b in t.encode())) == (t, True) for t in texts)
+
+
+def test_dear_patterns_run_only_where_they_may_match(monkeypatch):
+    calls: Counter = Counter()
+
+    class Counted:
+        def __init__(self, name, pattern):
+            self.name, self.pattern = name, pattern
+
+        def __getattr__(self, what):
+            calls[self.name] += 1
+            return getattr(self.pattern, what)
+
+    for module, name in [(article, "CODED"), (article, "DATE"), (article, "NAMES"), (spam, "CODE"), (spam, "ENTITY"), (garbled, "INNER"), (garbled, "LONE"), (garbled, "RUN")]:
+        monkeypatch.setattr(module, name, Counted(name, getattr(module, name)))
+    line = "plain words — “without” any number"
+    assert article.form(line) == spam.masked(line) == line and article.special_form(line, frozenset()) == "" and garbled.cost(line) == 0
+    assert not calls
+
+
+def test_words_of_code_go_whole():
+    odd = ["--foo=bar.baz", "--", "a.b", "./a", "x/y<b>", "<a.b", "a--b", "é=ß", "1.5", "end.", "&amp;", "--x", "a.b--c", "Name"]
+    random.seed(2)
+    for _ in range(2000):
+        text = random.choice([" ", "  ", "\n"]).join(random.choice(odd) + random.choice(["", "", random.choice(odd)]) for _ in range(5))
+        want = spam.NAME.sub("N", spam.NUMBER.sub("0", spam.CODE.sub("", spam.ENTITY.sub("·", text))))
+        assert spam.masked(text) == " ".join(want.split())
+
+
+def test_lines_are_hashed_as_utf8():
+    for odd in ([], ["\ud800"]):
+        own = ["", "a", "é", "日本", "😀", *odd]
+        assert lines.digests(7, own) == [lines.digest(7, x) for x in own] and lines.digests(-2, own) == [lines.digest(-2, x) for x in own]
+
+
+def test_capitals_inside_a_cyrillic_word_cost():
+    assert garbled.cost("Привет Мир") == 0 and garbled.cost("пРИВЕТ ёЖ Мир") == pytest.approx(0.4 * 8)
